@@ -43,6 +43,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def pinned(c: Column) -> Column:
+    """The same value, computed once where it is defined.
+
+    A filter on a derived column is pushed below its projection by copying the
+    whole expression, level by level; on the long chains here the copies grow
+    exponentially. Catalyst does not move predicates across a projection that
+    reads the partition id, so results are pinned with one. Filter ``files``
+    (path, language, size) before extraction: those reach the scan.
+    """
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def replace_lit(c: Column, what: str, by: str = "") -> Column:
     return F.replace(c, F.lit(what), F.lit(by))
 

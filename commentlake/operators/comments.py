@@ -8,27 +8,44 @@ and a column nobody selects is not computed after the explode.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlake.functions import lexer, protect, score, text
-from commentlake.functions.hof import is_blank, newlines, strip, substr
+from commentlake.functions.hof import is_blank, newlines, pinned, strip, substr
 from commentlake.functions.protect import Protections
 
 Get = Callable[[str], Column]
 
 
+# Building these expressions takes thousands of calls into the JVM and depends on
+# nothing but the arguments, so they are built once per JVM.
+def _jvm() -> int:
+    return id(SparkContext._jvm)
+
+
+@lru_cache(maxsize=64)
+def _lexer_columns(source: str, languages: tuple, prefix: str, jvm: int) -> dict[str, Column]:
+    tok, pos, bol, flag = (prefix + n for n in ("tok", "pos", "bol", "is"))
+    return {
+        tok: pinned(lexer.tokens(F.col(source), F.col("lang"), languages)),
+        pos: lexer.positions(F.col(tok)),
+        bol: lexer.line_starts(F.col(tok), F.col(pos)),
+        flag: lexer.comment_flags(F.col(tok)),
+    }
+
+
 def lex(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES, source: str = "text",
-        prefix: str = "_") -> DataFrame:
+        prefix: str = "_", places: bool = True) -> DataFrame:
     """Add the tokens of ``source``, their positions and their comment flags."""
-    tok, pos, bol, flag = (prefix + n for n in ("tok", "pos", "bol", "is"))
-    out = files.withColumn(tok, lexer.tokens(F.col(source), F.col("lang"), languages))
-    return (
-        out.withColumn(pos, lexer.positions(F.col(tok)))
-        .withColumn(bol, lexer.line_starts(F.col(tok), F.col(pos)))
-        .withColumn(flag, lexer.comment_flags(F.col(tok)))
-    )
+    columns = _lexer_columns(source, tuple(languages), prefix, _jvm())
+    for name, column in columns.items():
+        if places or name.endswith(("tok", "is")):
+            files = files.withColumn(name, column)
+    return files
 
 
 def code_of(tok: str, flag: str) -> Column:
@@ -132,7 +149,7 @@ def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
     places = F.filter(
         F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
     )
-    out = out.withColumn("comments", F.transform(places, _located))
+    out = out.withColumn("comments", pinned(F.transform(places, _located)))
     names = list(LOCATED)
     out, names = add_fields(out, names, _layer_lines)
     # A docstring candidate with code before it on its line is a plain string.
@@ -148,6 +165,12 @@ def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
 def add_fields(df: DataFrame, names: list[str], layer: Callable[[Get], Mapping[str, Column]],
                array: str = "comments") -> tuple[DataFrame, list[str]]:
     """One pass over an array of structs that appends the fields of ``layer``."""
+    column, names = _grown(layer, tuple(names), array, _jvm())
+    return df.withColumn(array, column), list(names)
+
+
+@lru_cache(maxsize=256)
+def _grown(layer, names: tuple, array: str, jvm: int) -> tuple[Column, tuple]:
     added: list[str] = []
 
     def grow(c: Column) -> Column:
@@ -156,13 +179,20 @@ def add_fields(df: DataFrame, names: list[str], layer: Callable[[Get], Mapping[s
         kept = [c[n].alias(n) for n in names if n not in new]
         return F.struct(*kept, *[v.alias(n) for n, v in new.items()])
 
-    out = df.withColumn(array, F.transform(array, grow))
-    return out, [n for n in names if n not in added] + added
+    column = F.transform(array, grow)
+    return column, tuple(n for n in names if n not in added) + tuple(added)
 
 
+@lru_cache(maxsize=64)
+def _row_columns(layer, jvm: int) -> dict[str, Column]:
+    return dict(layer(F.col))
+
+
+@lru_cache(maxsize=None)
 def _layer_protect(prot: Protections):
     def layer(c: Get) -> Mapping[str, Column]:
-        return {"protected": protect.reason(c("text"), c("line"), c("kind"), c("doc"), prot)}
+        code = protect.reason(c("text"), c("line"), c("kind"), c("doc"), prot)
+        return {"protected": code}
 
     return layer
 
@@ -202,7 +232,7 @@ def classified_arrays(files: DataFrame, protections: Protections = Protections()
     names = out.schema["comments"].dataType.elementType.fieldNames()
     for layer in (*DESCRIBE, _layer_protect(protections), *RATE):
         out, names = add_fields(out, names, layer)
-    return out
+    return out.withColumn("comments", pinned(F.col("comments")))
 
 
 def extract_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES,
@@ -212,8 +242,10 @@ def extract_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUA
     ``keep`` names further columns of ``files`` to carry along.
     """
     arrays = comment_arrays(files, languages, context)
-    rows = arrays.select("path", *keep, F.posexplode("comments").alias("_n", "c"))
-    return rows.select(
+    # Outer, because for a plain explode Catalyst infers a filter on the array and
+    # pushes a copy of everything that computes it towards the scan.
+    rows = arrays.select("path", *keep, F.posexplode_outer("comments").alias("_n", "c"))
+    return rows.where(F.col("_n").isNotNull()).select(
         "path", *keep, F.format_string("c%04d", "_n").alias("comment_id"), "c.*"
     )
 
@@ -225,12 +257,13 @@ def annotate(comments: DataFrame) -> DataFrame:
 
 def classify(comments: DataFrame, protections: Protections = Protections()) -> DataFrame:
     """Protection code and detail, style score and its reasons."""
-    return _apply(comments, (_layer_protect(protections), *RATE))
+    rated = _apply(comments, (_layer_protect(protections), *RATE))
+    return rated.withColumns({n: pinned(F.col(n)) for n in ("protected", "ai_score")})
 
 
 def _apply(df: DataFrame, layers) -> DataFrame:
     for layer in layers:
-        df = df.withColumns(dict(layer(F.col)))
+        df = df.withColumns(_row_columns(layer, _jvm()))
     return df
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from commentlake.dims import BRACE_WRAPPED
 from commentlake.functions import lexer, rewrite, shorten
-from commentlake.functions.hof import is_blank, let, prefix
+from commentlake.functions.hof import is_blank, let, pinned, prefix
 from commentlake.functions.protect import API_DOC, Protections
 from commentlake.functions.text import count_lines
 from commentlake.operators.comments import (
@@ -224,7 +224,7 @@ def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
 
 def edits_of(planned: DataFrame) -> DataFrame:
     """The change log: one row per edit."""
-    rows = planned.select("path", F.posexplode("comments").alias("_n", "c")).where(
+    rows = planned.select("path", F.posexplode_outer("comments").alias("_n", "c")).where(
         F.col("c.action").isNotNull()
     )
     return rows.select(
@@ -307,17 +307,16 @@ def verify(applied: DataFrame, languages: Collection[str] = lexer.LANGUAGES) ->
     df = applied.withColumn(
         "_again", F.when(F.col("after") != F.col("text"), F.col("after"))
     )
-    df = df.withColumn("_tok2", lexer.tokens(F.col("_again"), F.col("lang"), languages))
-    df = df.withColumn("_is2", lexer.comment_flags(F.col("_tok2")))
+    df = lex(df, languages, "_again", "_again_", places=False)
     df = df.withColumn(
         "_code", F.when(F.col("_again").isNotNull(), rewrite.canonical(code_of("_tok", "_is"), wrapped))
-    ).withColumn("_code2", rewrite.canonical(code_of("_tok2", "_is2"), wrapped))
+    ).withColumn("_code2", rewrite.canonical(code_of("_again_tok", "_again_is"), wrapped))
     df = df.withColumn("ok", F.coalesce(F.col("_code") == F.col("_code2"), F.lit(True)))
     df = df.withColumn(
         "first_difference",
         F.when(~F.col("ok"), rewrite.first_difference(F.col("_code"), F.col("_code2"))),
     )
-    return df.drop("_again", "_tok2", "_is2", "_code", "_code2")
+    return df.drop("_again", "_again_tok", "_again_is", "_code", "_code2")
 
 
 PLANS = {"delete": plan_delete, "reduce": plan_reduce}
@@ -340,20 +339,24 @@ def _summarised(verified: DataFrame) -> DataFrame:
         return F.size(F.filter("comments", cond))
 
     live = F.when(F.col("lex_degraded"), F.lit(0))
-    return verified.select(
-        "path", "lang", F.col("text").alias("before"), "after", "ok", "first_difference",
-        "lex_degraded",
-        live.otherwise(count(lambda c: c["action"] == DELETE)).alias("deleted"),
-        live.otherwise(count(lambda c: c["action"] == REPLACE)).alias("shortened"),
-        count(lambda c: c["protected"].isNotNull()).alias("protected"),
-        (count_lines(F.col("text")) - count_lines(F.col("after"))).alias("lines_saved"),
-    )
+    saved = count_lines(F.col("text")) - count_lines(F.col("after"))
+    columns = {
+        "before": F.col("text"),
+        "after": F.col("after"),
+        "ok": F.col("ok"),
+        "first_difference": F.col("first_difference"),
+        "lex_degraded": F.col("lex_degraded"),
+        "deleted": live.otherwise(count(lambda c: c["action"] == DELETE)),
+        "shortened": live.otherwise(count(lambda c: c["action"] == REPLACE)),
+        "protected": count(lambda c: c["protected"].isNotNull()),
+        "lines_saved": saved,
+    }
+    return verified.select("path", "lang", *[pinned(v).alias(k) for k, v in columns.items()])
 
 
 def canonical_code(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
     """path, lang and the code form that cleaning must not change."""
-    df = files.withColumn("_tok", lexer.tokens(F.col("text"), F.col("lang"), languages))
-    df = df.withColumn("_is", lexer.comment_flags(F.col("_tok")))
+    df = lex(files, languages, places=False)
     wrapped = F.col("lang").isin(*BRACE_WRAPPED)
     return df.select(
         "path", "lang", rewrite.canonical(code_of("_tok", "_is"), wrapped).alias("code")
@@ -362,6 +365,5 @@ def canonical_code(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
 
 def strip_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
     """path, lang and the text with every comment cut out."""
-    df = files.withColumn("_tok", lexer.tokens(F.col("text"), F.col("lang"), languages))
-    df = df.withColumn("_is", lexer.comment_flags(F.col("_tok")))
+    df = lex(files, languages, places=False)
     return df.select("path", "lang", code_of("_tok", "_is").alias("code"))
