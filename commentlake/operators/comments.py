@@ -108,19 +108,25 @@ def _layer_place(c: Get) -> Mapping[str, Column]:
     }
 
 
-def _layer_context(c: Get) -> Mapping[str, Column]:
-    lines = F.col("_real_lines")
+def _layer_before(c: Get) -> Mapping[str, Column]:
+    first = F.greatest(F.lit(1), c("line") - 3)
     return {
-        "code_before": text.context(
-            lines, F.greatest(F.lit(1), c("line") - 3), F.least(F.lit(3), c("line") - 1)
-        ),
-        "code_after": text.context(lines, c("end_line") + 1, F.lit(3)),
-        "following": F.when(
-            c("kind") == "docstring", text.next_statement(lines, c("end_line"))
-        ),
+        "code_before": text.context(F.col("_real_lines"), first, F.least(F.lit(3), c("line") - 1))
     }
 
 
+def _layer_after(c: Get) -> Mapping[str, Column]:
+    return {"code_after": text.context(F.col("_real_lines"), c("end_line") + 1, F.lit(3))}
+
+
+def _layer_following(c: Get) -> Mapping[str, Column]:
+    found = text.next_statement(F.col("_real_lines"), c("end_line"))
+    return {"following": F.when(c("kind") == "docstring", found)}
+
+
+CONTEXT = {"before": _layer_before, "after": _layer_after, "following": _layer_following}
+
+
 def _layer_text(c: Get) -> Mapping[str, Column]:
     own = c("jsx_wrapped") | is_blank(c("before"))
     return {
@@ -142,8 +148,11 @@ LOCATED = ("start", "end", "kind", "doc", "lang", "text", "line", "col", "breaks
 
 
 def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES,
-                   context: bool = True) -> DataFrame:
-    """Add ``comments``: array of located comments with their surroundings."""
+                   context: Collection[str] = tuple(CONTEXT)) -> DataFrame:
+    """Add ``comments``: array of located comments with their surroundings.
+
+    ``context`` limits which neighbouring lines are looked up.
+    """
     out = lex(files, languages)
     out = out.withColumn("_lines", F.split("text", "\n"))
     places = F.filter(
@@ -152,11 +161,10 @@ def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
     out = out.withColumn("comments", pinned(F.transform(places, _located)))
     names = list(LOCATED)
     out, names = add_fields(out, names, _layer_lines)
-    # A docstring candidate with code before it on its line is a plain string.
     layers = [_layer_place]
     if context:
         out = out.withColumn("_real_lines", text.lines_of(F.col("text")))
-        layers.append(_layer_context)
+        layers += [CONTEXT[name] for name in context]
     for layer in layers:
         out, names = add_fields(out, names, layer)
     return out
@@ -212,6 +220,10 @@ def _layer_rules(c: Get) -> Mapping[str, Column]:
     }
 
 
+def _layer_points(c: Get) -> Mapping[str, Column]:
+    return {"ai_score": score.score(c("rules"))}
+
+
 def _layer_score(c: Get) -> Mapping[str, Column]:
     n_lines = c("end_line") - c("line") + 1
     return {
@@ -235,8 +247,59 @@ def classified_arrays(files: DataFrame, protections: Protections = Protections()
     return out.withColumn("comments", pinned(F.col("comments")))
 
 
+def file_counts(files: DataFrame, protections: Protections = Protections(),
+                languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """One row per file with its comment counts, in one pass and without a shuffle."""
+    out = comment_arrays(files, languages, context=("after",))
+    names = out.schema["comments"].dataType.elementType.fieldNames()
+    for layer in (_layer_text, _layer_inner, _layer_protect(protections), _layer_restated,
+                  _layer_rules, _layer_points):
+        out, names = add_fields(out, names, layer)
+
+    def count(cond) -> Column:
+        return F.size(F.filter("comments", cond))
+
+    def filler(c: Column) -> Column:
+        return c["ai_score"] >= score.FLAGGED
+
+    spans = F.transform("comments", lambda c: c["end_line"] - c["line"] + 1)
+    columns = {
+        "comments": F.size("comments"),
+        "changeable": count(lambda c: c["protected"].isNull()),
+        "flagged": count(lambda c: c["protected"].isNull() & filler(c)),
+        "protected": count(lambda c: c["protected"].isNotNull()),
+        "hidden_docs": count(lambda c: (c["protected"] == protect.API_DOC) & filler(c)),
+        "comment_lines": F.aggregate(spans, F.lit(0), lambda a, n: a + n),
+        "total_lines": text.count_lines(F.col("text")),
+    }
+    return out.select("path", "lang", *[pinned(v).alias(k) for k, v in columns.items()])
+
+
+def file_regions(files: DataFrame) -> DataFrame:
+    """The parts of each file that have a syntax of their own, in order."""
+    region = (
+        F.when(F.col("lang").isin(*lexer.MARKUP), lexer.markup_regions(F.col("text")))
+        .when(F.col("lang") == "php", lexer.php_regions(F.col("text")))
+        .otherwise(F.array(F.struct(F.col("lang").alias("lang"), F.col("text").alias("body"))))
+    )
+    df = files.withColumn("_regions", pinned(region))
+    sizes = F.transform("_regions", lambda r: F.length(r["body"]))
+    df = df.withColumn("_starts", lexer.prefix(sizes, F.lit(0), "int", lambda a, n: a + n))
+    placed = F.transform(
+        "_regions",
+        lambda r, i: F.struct(
+            F.get("_starts", i).alias("start"),
+            (F.get("_starts", i) + F.length(r["body"])).alias("end"),
+            r["lang"].alias("sublang"), r["body"].alias("body"),
+        ),
+    )
+    rows = df.select("path", F.posexplode_outer(placed).alias("region_no", "r"))
+    return rows.select("path", "region_no", "r.*")
+
+
 def extract_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES,
-                     context: bool = True, keep: Collection[str] = ()) -> DataFrame:
+                     context: Collection[str] = tuple(CONTEXT),
+                     keep: Collection[str] = ()) -> DataFrame:
     """One row per comment, in file order: where it is and what surrounds it.
 
     ``keep`` names further columns of ``files`` to carry along.

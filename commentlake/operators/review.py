@@ -164,7 +164,7 @@ def judge_reviews(reviews: DataFrame, files: DataFrame,
     # Only fresh files are lexed again, and of their comments only id and hash travel.
     fresh = state.where(F.col("_file_reason").isNull()).select("path")
     known = extract_comments(
-        files.join(fresh, "path", "left_semi"), languages, context=False
+        files.join(fresh, "path", "left_semi"), languages, context=()
     ).select("path", "comment_id", F.sha1(F.encode("text", "UTF-8")).alias("_sha"))
     answered = asked.where(F.col("new_text").isNotNull())
     # Of two answers to one comment the first counts.

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commentlake.functions.protect import API_DOC
 from commentlake.functions.score import FLAGGED
-from commentlake.functions.text import count_lines
 
 TOP_FLAGGED = 200
 TOP_FILES = 40
@@ -17,32 +15,24 @@ def is_flagged() -> Column:
     return F.col("protected").isNull() & (F.col("ai_score") >= FLAGGED)
 
 
-def scan_files(comments: DataFrame) -> DataFrame:
-    """Per file with comments: changeable, flagged and protected counts."""
-    return comments.groupBy("path").agg(
-        F.count_if(F.col("protected").isNull()).alias("changeable"),
-        F.count_if(is_flagged()).alias("flagged"),
-        F.count_if(F.col("protected").isNotNull()).alias("protected"),
-    )
+def scan_files(counts: DataFrame) -> DataFrame:
+    """Per file with comments: changeable, flagged and protected counts.
+
+    ``counts`` is ``file_counts``, which has one row per file already: no shuffle.
+    """
+    return counts.where(F.col("comments") > 0).select("path", "changeable", "flagged", "protected")
 
 
-def scan_totals(files: DataFrame, comments: DataFrame) -> DataFrame:
+def scan_totals(counts: DataFrame) -> DataFrame:
     """Corpus totals in one row; files without comments count as files."""
-    per_file = files.agg(
-        F.count("*").alias("files"), F.coalesce(F.sum(count_lines(F.col("text"))), F.lit(0)).alias("total_lines")
-    )
-    n_lines = F.col("end_line") - F.col("line") + 1
-    per_comment = comments.agg(
-        F.count("*").alias("comments"),
-        F.count_if(F.col("protected").isNotNull()).alias("protected"),
-        F.count_if(is_flagged()).alias("flagged"),
-        F.count_if((F.col("protected") == API_DOC) & (F.col("ai_score") >= FLAGGED)).alias("hidden_docs"),
-        F.coalesce(F.sum(n_lines), F.lit(0)).alias("comment_lines"),
-    )
+
+    def total(name: str) -> Column:
+        return F.coalesce(F.sum(name), F.lit(0)).alias(name)
+
+    names = ("comments", "protected", "flagged", "hidden_docs", "comment_lines", "total_lines")
+    out = counts.agg(F.count("*").alias("files"), *[total(n) for n in names])
     share = F.col("comment_lines") * 100.0 / F.greatest(F.lit(1), F.col("total_lines"))
-    # Two one-row aggregates side by side.
-    both = per_file.withColumn("_k", F.lit(1)).join(per_comment.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return both.withColumn("comment_share", share)
+    return out.withColumn("comment_share", share)
 
 
 def flagged_top(comments: DataFrame, n: int = TOP_FLAGGED) -> DataFrame:
