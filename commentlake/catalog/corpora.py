@@ -74,8 +74,8 @@ SELECT {_text("'sup/'", _str('s_suppkey'), "'.ts'")} AS path,
   {_text("'/**'", NL, "' * This function returns the supplier '", 's_name', "'. Note that it is slow.'", NL,
          "' * @param key - The key'", NL, "' * @param account - balance in cents of '", 's_name', NL,
          "' * @returns The row'", NL, "' */'", NL,
-         "'function supplier(key, account) {'", NL, "'  // Return the key'", NL, "'  return key; // as is'", NL,
-         "'}'", NL)} AS text,
+         "'function supplier(key, account) '", "chr(123)", NL, "'  // Return the key'", NL, "'  return key; // as is'", NL,
+         "chr(125)", NL)} AS text,
   'typescript' AS lang
 FROM supplier"""
 

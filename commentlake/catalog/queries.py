@@ -169,9 +169,7 @@ def style_score(spark, d):
 
 
 def style_score_sql(spark, d):
-    return _scan(spark, d, C.PARTS, SQL).select(
-        "path", "start", F.round("ai_score", 4).alias("ai_score"), F.array_join("ai_reasons", ",").alias("reasons")
-    )
+    return _scan(spark, d, C.PARTS, SQL).select("path", "start", F.round("ai_score", 4).alias("ai_score"))
 
 
 def style_tags(spark, d):
@@ -269,7 +267,7 @@ def delete_page_comments(spark, d):
 
 def delete_flagged(spark, d):
     """Only comments from a score on."""
-    out = ed.clean_files(_files(spark, d, C.PARTS), "delete", Options(min_score=0.5), languages=SQL)
+    out = ed.clean_files(_files(spark, d, C.DOCUMENTS), "delete", Options(min_score=0.5), languages=PY)
     return out.select("path", "after")
 
 

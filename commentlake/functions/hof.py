@@ -88,6 +88,14 @@ def sub(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
+def any_of(patterns) -> str:
+    """One pattern for many; anchored ones are left at the first character."""
+    patterns = list(patterns)
+    at_start = [p for p in patterns if p.startswith("^")]
+    anywhere = [p for p in patterns if not p.startswith("^")]
+    return "(?iU)" + "|".join([rf"\A(?:{'|'.join(at_start)})", *anywhere])
+
+
 def case(branches: list[tuple[Column, Column]], default: Column) -> Column:
     out = None
     for cond, value in branches:

@@ -61,6 +61,31 @@ HEADER_LINES = 8
 SHEBANG, PRESERVED, DIRECTIVE = "shebang", "preserved", "directive"
 HEADER, MARKER, API_DOC = "header", "marker", "api_doc"
 
+
+
+def _by_first_character(patterns: tuple[str, ...]) -> str:
+    """The same alternation, factored by the first character.
+
+    Only patterns that open with the same character can match at one place, so
+    no match is lost; the engine tries some twenty alternatives per place
+    instead of eighty.
+    """
+    groups: dict[str, list[str]] = {}
+    for p in patterns:
+        bare = p.removeprefix(r"\b")
+        size = 2 if bare[0] == "\\" else 1
+        first, rest = bare[:size], bare[size:]
+        if p.startswith("^"):
+            groups.setdefault("", []).append(p)
+        else:
+            edge = rf"(?<=\b{first})" if bare != p else ""
+            groups.setdefault(first, []).append(edge + rest)
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in groups.items())
+
+
+# The test runs on lower-case text: exact characters compare faster than with
+# the case-insensitive flag. No escape in the list is an upper-case letter.
+DIRECTIVE_TEST = "(?m)" + _by_first_character(tuple(p.lower() for p in DIRECTIVES))
 DIRECTIVE_PATTERN = "(?im)" + "|".join(DIRECTIVES)
 LICENSE_PATTERN = "(?i)" + LICENSE
 MARKER_PATTERN = rf"\b({'|'.join(MARKERS)})\b"
@@ -84,7 +109,7 @@ def reason(text: Column, line: Column, kind: Column, doc: Column, prot: Protecti
         rules += [
             (text.startswith("#!") & (line == 1), SHEBANG),
             (text.startswith("/*!"), PRESERVED),
-            (rlike(text, DIRECTIVE_PATTERN), DIRECTIVE),
+            (rlike(F.lower(text), DIRECTIVE_TEST), DIRECTIVE),
         ]
     if prot.headers:
         rules.append(((line <= HEADER_LINES) & rlike(text, LICENSE_PATTERN), HEADER))

@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from commentlake.functions.hof import (
+    any_of,
     find,
     find_all,
     is_blank,
     let,
     rlike,
     strings,
-    strip,
+    sub,
 )
 
 # ---- fixed values: phrase openers, first hit counts ------------------------
@@ -72,8 +73,8 @@ KEYWORD_WORDS = {
 }
 
 WORD = r"[A-Za-zÀ-ſ]+"
-IDENTIFIER = r"[A-Za-z_$][\p{L}\p{N}_$]*"
-IDENTIFIER_CUT = r"[_\s]+|(?<=[a-z0-9])(?=[A-Z])"
+IDENTIFIER = r"[A-Za-z_$](?:[\w$]++|[\p{L}\p{N}]++)*+"
+CAMEL_CUT = r"([a-z0-9])(?=[A-Z])"
 
 FLAGGED = 0.5  # score from which a comment counts as filler
 
@@ -86,33 +87,48 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def _lookup(keys: Column, table: dict[str, tuple[str, ...]]) -> Column:
-    pairs = [x for k, v in table.items() for x in (F.lit(k), strings(v))]
-    found = F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.create_map(*pairs), k), _none()))
-    return F.flatten(found)
+def _padded(ws: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
 
 
-def identifier_words(code: Column) -> Column:
-    """Split identifiers, and the words that keywords, digits and operators evoke."""
-    parts = F.filter(
-        F.flatten(F.transform(find_all(code, IDENTIFIER), lambda t: F.split(t, IDENTIFIER_CUT))),
-        lambda p: p != "",
-    )
-    low = F.transform(parts, lambda p: F.lower(p))
-    named = let(low, lambda p: F.concat(p, _lookup(p, KEYWORD_WORDS)))
-    digits = _lookup(find_all(code, r"\b\d+\b"), DIGIT_WORDS)
-    signs = [
-        F.when(F.contains(code, F.lit(op)), strings(w)).otherwise(_none())
-        for op, w in OPERATOR_WORDS.items()
+def _evoked(present: Column, table: dict[str, tuple[str, ...]], pad: str = " ") -> list[Column]:
+    """Words that the keys found in ``present`` stand for."""
+    return [
+        F.when(F.contains(present, F.lit(f"{pad}{key}{pad}")), F.lit(" ".join(ws) + " ")).otherwise(F.lit(""))
+        for key, ws in table.items()
     ]
-    return F.array_distinct(F.concat(named, digits, *signs))
 
 
-def echoes(word: Column, idents: Column) -> Column:
+def vocabulary(code: Column) -> Column:
+    """Split identifiers, and the words that keywords, digits and operators evoke.
+
+    One string with every word between blanks: searching it is far cheaper than
+    comparing every word of a comment with every word of the code.
+    """
+    names = sub(code, rf"[^A-Za-z_$]*+({IDENTIFIER})|[^A-Za-z_$]++\z", " $1")
+    cut = F.translate(sub(names, CAMEL_CUT, "$1 "), "_", " ")
+    parts = F.concat(F.lit(" "), F.lower(cut), F.lit(" "))
+    digits = F.when(rlike(code, "[0-9]"), _padded(find_all(code, r"\b\d+\b"))).otherwise(F.lit(""))
+    named = let(parts, lambda p: F.concat(p, *_evoked(p, KEYWORD_WORDS)))
+    counted = let(digits, lambda n: F.when(n != "", F.concat(*_evoked(n, DIGIT_WORDS))).otherwise(n))
+    return F.concat(named, counted, *_evoked(code, OPERATOR_WORDS, pad=""))
+
+
+def echoes(word: Column, vocab: Column) -> Column:
     """Exact, or a prefix either way of an identifier of four letters or more."""
-    return F.array_contains(idents, word) | F.exists(
-        idents, lambda i: (F.length(i) >= 4) & (F.startswith(word, i) | F.startswith(i, word))
+    blank = F.lit(" ")
+    # From three letters on, a word that begins so and is longer has the four
+    # letters, and one that does not is the exact match.
+    short = F.contains(vocab, F.concat(blank, word, blank)) | F.contains(
+        sub(vocab, "(?<= )[^ ]{1,3}(?= )"), F.concat(blank, word)
+    )
+    begins = F.when(F.length(word) < 3, short).otherwise(F.contains(vocab, F.concat(blank, word)))
+    extends = (F.length(word) > 4) & F.exists(
+        F.sequence(F.lit(4), F.greatest(F.length(word) - 1, F.lit(4))),
+        lambda n: F.contains(vocab, F.concat(blank, F.left(word, n), blank)),
     )
+    # Every way needs the first letters somewhere: most words stop here.
+    return F.contains(vocab, F.left(word, F.lit(4))) & (begins | extends)
 
 
 def _content(ws: Column, longer_than: int) -> Column:
@@ -127,7 +143,7 @@ def restates(inner: Column, trailing: Column, same_line: Column, code_after: Col
             def hits(idents: Column) -> Column:
                 return F.size(F.filter(ws, lambda w: echoes(w, idents))) / F.size(ws)
 
-            return F.when(F.size(ws) >= 2, let(identifier_words(target), hits)).otherwise(F.lit(0.0))
+            return F.when(F.size(ws) >= 2, let(vocabulary(target), hits)).otherwise(F.lit(0.0))
 
         return F.when(is_blank(target), F.lit(0.0)).otherwise(let(_content(words(inner), 2), of))
 
@@ -141,7 +157,7 @@ def _empty_tag(line: Column) -> Column:
 
     def all_echo(ws: Column) -> Column:
         return (F.size(ws) > 0) & let(
-            identifier_words(find(line, PARAM_TAG, 1)),
+            vocabulary(find(line, PARAM_TAG, 1)),
             lambda ids: F.forall(ws, lambda w: echoes(w, ids)),
         )
 
@@ -168,7 +184,7 @@ def opener(inner: Column) -> Column:
 
 
 # One pass over a text that no opener touches, before the eleven are told apart.
-ANY_OPENER = "(?iU)" + "|".join(f"(?:{p})" for p, _, _ in OPENERS)
+ANY_OPENER = any_of(p for p, _, _ in OPENERS)
 
 PARTS = "struct<opener:int,decorated:boolean,restated:double,tags:int,long:boolean,wordy:boolean>"
 
@@ -233,6 +249,6 @@ def reasons(p: Column, n_lines: Column) -> Column:
 
 
 __all__ = [
-    "FLAGGED", "OPENERS", "PARAM_TAG", "RETURN_TAG", "STOPWORDS", "empty_tags", "identifier_words",
-    "parts", "reasons", "restates", "score", "strip", "words",
+    "FLAGGED", "OPENERS", "PARAM_TAG", "RETURN_TAG", "STOPWORDS", "empty_tags", "parts", "reasons",
+    "restates", "score", "words",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from commentlake.functions.hof import find, is_blank, let, lstrip, rlike, strip, sub
+from commentlake.functions.hof import any_of, find, is_blank, let, lstrip, rlike, strip, sub
 from commentlake.functions.score import PARAM_TAG, RETURN_TAG, empty_tags
 
 # ---- fixed values: preambles, filler sentences, headings, noise words -------
@@ -51,8 +51,8 @@ PREAMBLE_ROUNDS = 3
 MIN_BUDGET = 24
 
 _FLAGS = "(?iU)"
-_ANY_PREAMBLE = _FLAGS + "|".join(f"(?:{p})" for p in PREAMBLES)
-_ANY_FILLER = _FLAGS + "|".join(f"(?:{p})" for p in FILLER)
+_ANY_PREAMBLE = any_of(PREAMBLES)
+_ANY_FILLER = any_of(FILLER)
 _NOISE = rf"(?iU)\b({'|'.join(TYPE_NOISE)})\b"
 
 
