@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from commentlake.sources.files import spread
+
 NL = "chr(10)"
 QUOTE = "chr(39)"
 
@@ -59,7 +61,7 @@ SELECT concat(
       ELSE concat('f', {_str('doc_id')},
         CASE doc_id % 8 WHEN 0 THEN '.min.js' WHEN 1 THEN '.PY' WHEN 2 THEN '.ts' WHEN 3 THEN '.unknown'
           WHEN 4 THEN '.Rs' WHEN 5 THEN '' WHEN 6 THEN '.tar.gz' ELSE '.scala' END) END) AS path,
-  n_chars * CASE WHEN doc_id % 10 = 0 THEN 400 ELSE 1 END AS size
+  CASE WHEN doc_id % 11 < 3 THEN 1000 WHEN doc_id % 10 = 0 THEN n_chars * 400 ELSE n_chars END AS size
 FROM documents"""
 
 CURRENT = f"""
@@ -88,6 +90,7 @@ TABLES = (
 def corpus(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     """Run a corpus SELECT over the tables it names."""
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"FROM {t}" in select}
+    used = {t: spread(df) for t, df in used.items()}
     for t in used:
         select = select.replace(f"FROM {t}", f"FROM {{{t}}}")
     return spark.sql(select, **used)

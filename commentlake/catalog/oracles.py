@@ -293,7 +293,7 @@ body AS (
   SELECT a.path, a.line, a.inner_, a.inner_ AS src FROM alive a LEFT JOIN copies c ON c.path = a.path AND c.line = a.line WHERE c.line IS NULL),
 {_prose('body', 'src')}, {_fit('prose', 'p', '78')},
 acts AS (
-  SELECT path, line, NULL AS put FROM open_ WHERE dropped UNION ALL SELECT path, line, NULL FROM copies
+  SELECT path, line, CAST(NULL AS VARCHAR) AS put FROM open_ WHERE dropped UNION ALL SELECT path, line, CAST(NULL AS VARCHAR) FROM copies
   UNION ALL SELECT path, line, CASE WHEN f = '' THEN NULL ELSE concat('# ', f) END FROM fitted WHERE f <> inner_),
 rebuilt AS (
   SELECT l.path, l.n, CASE WHEN a.line IS NULL THEN l.l WHEN starts_with(l.l, '#') THEN a.put

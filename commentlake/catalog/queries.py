@@ -325,7 +325,8 @@ def _queue(spark, d, mode="humanize"):
 
 
 def _answers(spark, d):
-    """The queue filled in by rule: replies of every kind."""
+    """The queue filled in by rule with replies of every kind, as a file of JSON
+    lines that goes out and comes back."""
     q = _queue(spark, d)
     n = F.regexp_extract("file", r"(\d+)", 1).cast("bigint")
     which = (n + F.substring("id", -1, 1).cast("int")) % 6
@@ -338,9 +339,12 @@ def _answers(spark, d):
     )
     stale = F.when(n % 5 == 0, F.lit("0")).otherwise(F.col("file_sha1"))
     odd = F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("raw_sha1"))
-    return q.withColumns(
+    filled = q.withColumns(
         {"new_text": reply, "file_sha1": stale, "raw_sha1": odd, "deletable": F.col("deletable") & (n % 3 != 0)}
     )
+    path = incremental.work_dir(spark, "reviews")
+    rv.write_reviews(filled, path)
+    return rv.read_reviews(spark, path)[0]
 
 
 def review_queue(spark, d):

@@ -38,6 +38,21 @@ def read_tree(spark: SparkSession, directory: str, glob: str | None = None,
     )
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Give a small input to all cores; leave a large one as it is scanned.
+
+    A table of one row group is read by one task, however many cores there are,
+    and lexing is bound by the processor. Only inputs that cannot fill the cores
+    with splits of their own are shuffled, so what moves is bounded by the number
+    of cores times the split size; a large corpus is never moved.
+    """
+    spark = files.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return files.repartition(cores) if size < cores * split else files
+
+
 def decode(files: DataFrame) -> DataFrame:
     """Drop undecodable files, decode the rest and fold line ends to a newline.
 
