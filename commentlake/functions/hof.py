@@ -31,7 +31,7 @@ def rstrip(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return strip(c) == F.lit("")
+    return lstrip(c) == F.lit("")  # stops at the first visible character
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -18,12 +18,12 @@ from commentlake.dims import MARKUP, SYNTAX, Str, Syntax
 from commentlake.functions.hof import (
     case,
     find_all,
+    is_blank,
     last_line,
     let,
     newlines,
     prefix,
     rlike,
-    rstrip,
     sub,
     substr,
 )
@@ -453,7 +453,7 @@ def comment_flags(toks: Column) -> Column:
         def with_depth(depths: Column) -> Column:
             def flag(t: Column, i: Column) -> Column:
                 at = F.get(seen, i)
-                tail = F.right(rstrip(F.get(toks, at)["tok"]), F.lit(1))
+                tail = F.regexp_extract(F.get(toks, at)["tok"], r"(?U)\S(?=\s*+\z)", 0)
                 after_colon = (F.get(depths, i) <= 0) & (tail == ":")
                 here = (at < 0) | after_colon
                 return (t["kind"] == COMMENT) | ((t["kind"] == CANDIDATE) & here)
@@ -468,7 +468,7 @@ def comment_flags(toks: Column) -> Column:
 
     visible = F.transform(
         toks,
-        lambda t, i: F.when((t["kind"] != COMMENT) & (rstrip(t["tok"]) != ""), i).otherwise(F.lit(-1)),
+        lambda t, i: F.when((t["kind"] != COMMENT) & ~is_blank(t["tok"]), i).otherwise(F.lit(-1)),
     )
     plain = F.transform(toks, lambda t: t["kind"] == COMMENT)
     return F.when(

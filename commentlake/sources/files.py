@@ -49,7 +49,7 @@ def spread(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return files.repartition(cores) if size < cores * split else files
 
 
