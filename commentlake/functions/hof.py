@@ -46,11 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def pinned(c: Column) -> Column:
     """The same value, computed once where it is defined.
 
-    A filter on a derived column is pushed below its projection by copying the
-    whole expression, level by level; on the long chains here the copies grow
-    exponentially. Catalyst does not move predicates across a projection that
-    reads the partition id, so results are pinned with one. Filter ``files``
-    (path, language, size) before extraction: those reach the scan.
+    Catalyst copies expressions in two places that hurt here. A column used once
+    is inlined at its use, even when that is inside a lambda, where it would run
+    once per array element; and a filter on a derived column is pushed below its
+    projection with a copy of the whole expression, level by level. Neither
+    happens to a projection that reads the partition id. Filter ``files`` (path,
+    language, size) before extraction: those predicates reach the scan.
     """
     return F.when(F.spark_partition_id() >= 0, c)
 

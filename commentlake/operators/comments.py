@@ -32,9 +32,9 @@ def _lexer_columns(source: str, languages: tuple, prefix: str, jvm: int) -> dict
     tok, pos, bol, flag = (prefix + n for n in ("tok", "pos", "bol", "is"))
     return {
         tok: pinned(lexer.tokens(F.col(source), F.col("lang"), languages)),
-        pos: lexer.positions(F.col(tok)),
-        bol: lexer.line_starts(F.col(tok), F.col(pos)),
-        flag: lexer.comment_flags(F.col(tok)),
+        pos: pinned(lexer.positions(F.col(tok))),
+        bol: pinned(lexer.line_starts(F.col(tok), F.col(pos))),
+        flag: pinned(lexer.comment_flags(F.col(tok))),
     }
 
 
@@ -154,7 +154,7 @@ def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
     ``context`` limits which neighbouring lines are looked up.
     """
     out = lex(files, languages)
-    out = out.withColumn("_lines", F.split("text", "\n"))
+    out = out.withColumn("_lines", pinned(F.split("text", "\n")))
     places = F.filter(
         F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
     )
@@ -163,7 +163,7 @@ def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGE
     out, names = add_fields(out, names, _layer_lines)
     layers = [_layer_place]
     if context:
-        out = out.withColumn("_real_lines", text.lines_of(F.col("text")))
+        out = out.withColumn("_real_lines", pinned(text.lines_of(F.col("text"))))
         layers += [CONTEXT[name] for name in context]
     for layer in layers:
         out, names = add_fields(out, names, layer)
@@ -284,7 +284,9 @@ def file_regions(files: DataFrame) -> DataFrame:
     )
     df = files.withColumn("_regions", pinned(region))
     sizes = F.transform("_regions", lambda r: F.length(r["body"]))
-    df = df.withColumn("_starts", lexer.prefix(sizes, F.lit(0), "int", lambda a, n: a + n))
+    df = df.withColumn(
+        "_starts", pinned(lexer.prefix(sizes, F.lit(0), "int", lambda a, n: a + n))
+    )
     placed = F.transform(
         "_regions",
         lambda r, i: F.struct(

@@ -159,7 +159,7 @@ def plan_delete(classified: DataFrame, opts: Options = Options()) -> DataFrame:
 
 def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
     """Decide per comment: drop what says nothing, shorten the rest."""
-    df = classified.withColumn("_banner", banner_flags(F.col("comments")))
+    df = classified.withColumn("_banner", pinned(banner_flags(F.col("comments"))))
 
     def first_rules(c: Column, i: Column) -> Column:
         get = lambda n: c[n]
@@ -173,14 +173,14 @@ def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
         )
 
     # null: not deletable; '': survived the first rules; else the reason to go.
-    df = df.withColumn("_first", F.transform("comments", first_rules))
+    df = df.withColumn("_first", pinned(F.transform("comments", first_rules)))
     if opts.dedupe:
         copies = duplicate_flags(
             F.col("comments"), lambda c, i: F.coalesce(F.get(F.col("_first"), i) == "", F.lit(False))
         )
     else:
         copies = F.array().cast("array<int>")
-    df = df.withColumn("_copies", copies)
+    df = df.withColumn("_copies", pinned(copies))
 
     def short(c: Column, i: Column) -> Column:
         get = lambda n: c[n]
@@ -194,7 +194,7 @@ def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
             ),
         )
 
-    df = df.withColumn("_short", F.transform("comments", short))
+    df = df.withColumn("_short", pinned(F.transform("comments", short)))
     fields = df.schema["comments"].dataType.elementType.fieldNames()
 
     def decide(c: Column, i: Column) -> Column:
@@ -270,7 +270,7 @@ def _spans(df: DataFrame) -> DataFrame:
         return let(new, choose)
 
     decided = F.filter("comments", lambda c: c["action"].isNotNull())
-    return df.withColumn("_spans", F.when(~F.col("lex_degraded"), F.transform(decided, span)))
+    return df.withColumn("_spans", pinned(F.when(~F.col("lex_degraded"), F.transform(decided, span))))
 
 
 def apply_edits(planned: DataFrame) -> DataFrame:
@@ -283,13 +283,13 @@ def apply_edits(planned: DataFrame) -> DataFrame:
     whole = F.transform(
         F.filter("_spans", lambda s: s["whole"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))
     )
-    df = df.withColumn("_whole", rewrite.merge_lines(whole, F.col("_lines")))
+    df = df.withColumn("_whole", pinned(rewrite.merge_lines(whole, F.col("_lines"))))
     other = F.transform(
         F.filter("_spans", lambda s: ~s["whole"]),
         lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), s["repl"].alias("repl")),
     )
-    df = df.withColumn("_cuts", F.array_sort(F.concat("_whole", other)))
-    df = df.withColumn("_cuts", rewrite.without_overlaps(F.col("_cuts")))
+    df = df.withColumn("_cuts", pinned(F.array_sort(F.concat("_whole", other))))
+    df = df.withColumn("_cuts", pinned(rewrite.without_overlaps(F.col("_cuts"))))
     changed = F.coalesce(F.size("_cuts") > 0, F.lit(False))
     out = df.withColumn(
         "after",
