@@ -27,6 +27,8 @@ def read_tree(spark: SparkSession, directory: str, glob: str | None = None,
     """Files below a directory as (path, size, content), paths relative to it.
 
     The size filter reaches the file listing, so larger files are never opened.
+    Spark's file listing leaves out names that start with ``_`` or ``.``; hold a
+    corpus that needs them (``__init__.py``, ``.env``) as a table of path and text.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
