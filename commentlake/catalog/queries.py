@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from commentlake.catalog import corpora as C
 from commentlake.functions import shorten
+from commentlake.functions.hof import pinned
+from commentlake.functions.protect import Protections
 from commentlake.operators import comments as ops
 from commentlake.operators import edits as ed
 from commentlake.operators import review as rv
 from commentlake.operators.edits import Options
-from commentlake.functions.protect import Protections
 from commentlake.plans import report
 from commentlake.sources import files as src
 from commentlake.sources import snapshots as snap
@@ -224,7 +225,7 @@ def truncate_text(spark, d):
 
 def banner_groups(spark, d):
     arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY)
-    arrays = arrays.withColumn("_banner", ed.banner_flags(F.col("comments")))
+    arrays = arrays.withColumn("_banner", pinned(ed.banner_flags(F.col("comments"))))
     pairs = F.arrays_zip(F.transform("comments", lambda c: c["line"]).alias("line"), F.col("_banner").alias("flag"))
     rows = arrays.select("path", F.explode_outer(F.filter(pairs, lambda p: p["flag"])).alias("p"))
     return rows.where(F.col("p").isNotNull()).select("path", F.col("p.line").alias("line"))
@@ -232,12 +233,11 @@ def banner_groups(spark, d):
 
 def dedupe_nearby(spark, d):
     arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY)
-    lines = F.transform(
-        ed.duplicate_flags(F.col("comments"), lambda c, i: c["protected"].isNull()),
-        lambda i: F.get("comments", i)["line"],
-    )
-    rows = arrays.select("path", F.explode_outer(lines).alias("line"))
-    return rows.where(F.col("line").isNotNull())
+    copies = ed.duplicate_flags(F.col("comments"), lambda c, i: c["protected"].isNull())
+    arrays = arrays.withColumn("_copies", pinned(copies))
+    pairs = F.arrays_zip(F.transform("comments", lambda c: c["line"]).alias("line"), F.col("_copies").alias("flag"))
+    rows = arrays.select("path", F.explode_outer(F.filter(pairs, lambda p: p["flag"])).alias("p"))
+    return rows.where(F.col("p").isNotNull()).select("path", F.col("p.line").alias("line"))
 
 
 # ---- rewriting ---------------------------------------------------------------------------

@@ -88,15 +88,13 @@ def duplicate_flags(comments: Column, candidate: Callable[[Column, Column], Colu
 
     Dropped comments do not move the anchor, so this is a fold; it runs only
     over files in which some candidate repeats close to the previous one.
+    Comments are sorted by text for the fold and sorted back by place after it.
     """
     entry = F.transform(
         comments,
-        lambda c, i: F.when(
-            candidate(c, i),
-            F.struct(
-                F.lower(c["inner"]).alias("key"), c["line"].alias("line"),
-                c["end_line"].alias("end_line"), i.alias("i"),
-            ),
+        lambda c, i: F.struct(
+            F.when(candidate(c, i), F.lower(c["inner"])).alias("key"), c["line"].alias("line"),
+            c["end_line"].alias("end_line"), i.alias("i"),
         ),
     )
 
@@ -115,25 +113,30 @@ def duplicate_flags(comments: Column, candidate: Callable[[Column, Column], Colu
             ),
         )
 
-        def dropped(ch: Column) -> Column:
+        def flagged(ch: Column) -> Column:
             def is_copy(anchor: Column, x: Column) -> Column:
                 return x["near"] & (x["line"] - anchor <= NEAR_LINES)
 
-            def indices(anchors: Column) -> Column:
-                hits = F.filter(ch, lambda x, k: is_copy(F.get(anchors, k), x))
-                return F.transform(hits, lambda x: x["i"])
+            def in_place(anchors: Column) -> Column:
+                told = F.transform(
+                    ch,
+                    lambda x, k: F.struct(
+                        x["i"].alias("i"), is_copy(F.get(anchors, k), x).alias("copy")
+                    ),
+                )
+                return F.transform(F.sort_array(told), lambda x: x["copy"])
 
             anchors = prefix(
                 ch, F.lit(0), "int",
                 lambda a, x: F.when(is_copy(a, x), a).otherwise(x["end_line"]),
             )
-            return F.when(F.exists(ch, lambda x: x["near"]), let(anchors, indices)).otherwise(
-                F.array().cast("array<int>")
+            return F.when(F.exists(ch, lambda x: x["near"]), let(anchors, in_place)).otherwise(
+                F.transform(ch, lambda x: F.lit(False))
             )
 
-        return let(chained, dropped)
+        return let(chained, flagged)
 
-    return let(F.array_sort(F.array_compact(entry)), build)
+    return let(F.sort_array(entry), build)
 
 
 # ---- plans ----------------------------------------------------------------------
@@ -179,12 +182,12 @@ def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
             F.col("comments"), lambda c, i: F.coalesce(F.get(F.col("_first"), i) == "", F.lit(False))
         )
     else:
-        copies = F.array().cast("array<int>")
+        copies = F.transform("comments", lambda c: F.lit(False))
     df = df.withColumn("_copies", pinned(copies))
 
     def short(c: Column, i: Column) -> Column:
         get = lambda n: c[n]
-        gone = (F.coalesce(F.get(F.col("_first"), i), F.lit("")) != "") | F.array_contains("_copies", i)
+        gone = (F.coalesce(F.get(F.col("_first"), i), F.lit("")) != "") | F.get(F.col("_copies"), i)
         limit = shorten.budget(c["indent"], c["kind"], c["open_tok"], c["close_tok"], opts.max_len)
         return F.when(
             eligible(get, opts) & ~gone,
@@ -203,7 +206,7 @@ def plan_reduce(classified: DataFrame, opts: Options = Options()) -> DataFrame:
         changed = ~shorten.same_lines(lines, c["inner_lines"])
         reason = (
             F.when(first != "", first)
-            .when(F.array_contains("_copies", i), F.lit("duplicate"))
+            .when(F.get(F.col("_copies"), i), F.lit("duplicate"))
             .when(lines.isNull(), F.lit(None).cast("string"))
             .when(F.size(lines) == 0, F.when(can_delete(get), F.lit("nothing_left")))
             .when(changed, F.lit("shortened"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlake.functions import lexer, shorten
-from commentlake.functions.hof import is_blank, let, rlike, strip, sub
+from commentlake.functions.hof import is_blank, let, pinned, rlike, strip, sub
 from commentlake.functions.protect import API_DOC, Protections
 from commentlake.operators.comments import annotate, classified_arrays, classify, extract_comments
 from commentlake.operators.edits import (
@@ -213,23 +213,28 @@ def apply_reviews(files: DataFrame, judged: DataFrame, protections: Protections
     Edits gather per file (at most one per comment, so bounded by the file size)
     and meet the texts in one join; files without edits never take part in it.
     """
+    number = F.expr("int(substring(comment_id, 2))")
     per_file = (
         review_edits(judged)
         .groupBy("path")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("comment_id", F.struct("action", "lines")))
-            ).alias("_answers")
-        )
+        .agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "action", "lines"))).alias("_given"))
     )
     touched = files.join(per_file, "path", "inner")
     planned = classified_arrays(touched, protections, languages)
+
+    # Comment ids are positions: spread the answers out to one slot per comment,
+    # so that each comment finds its own by index.
+    def slots(a: Column, k: Column) -> Column:
+        before = F.coalesce(F.get("_given", k - 1)["n"], F.lit(-1))
+        blank = F.when(F.lit(False), a)
+        return F.concat(F.array_repeat(blank, a["n"] - before - 1), F.array(a))
+
+    planned = planned.withColumn("_slots", pinned(F.flatten(F.transform("_given", slots))))
     fields = planned.schema["comments"].dataType.elementType.fieldNames()
 
     def decide(c: Column, i: Column) -> Column:
-        answer = F.try_element_at("_answers", F.format_string("c%04d", i))
         return let(
-            answer,
+            F.get("_slots", i),
             lambda a: F.struct(
                 *[c[n].alias(n) for n in fields],
                 a["lines"].alias("new_lines"),

@@ -124,14 +124,17 @@ def is_hidden(path: Column) -> Column:
 
 
 def select_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
-                 max_bytes: int = MAX_BYTES, skip_hidden: bool = False) -> DataFrame:
+                 max_bytes: int = MAX_BYTES, skip_hidden: bool = False,
+                 unique_paths: bool = False) -> DataFrame:
     """Distinct files the jobs work on, with their language.
 
     ``skip_hidden`` applies to files found by walking a tree, not to listed ones.
+    Removing repeated paths moves every text; say ``unique_paths`` for a listing
+    or a table keyed by path, and selection stays in the scan stage.
     """
     found = with_language(files if not skip_hidden else files.where(~is_hidden(F.col("path"))))
     kept = found.where(is_kept(F.col("path"), F.col("size"), F.col("lang"), excluded_dirs, max_bytes))
-    return kept.dropDuplicates(["path"])
+    return kept if unique_paths else kept.dropDuplicates(["path"])
 
 
 def skipped_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,

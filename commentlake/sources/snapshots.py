@@ -73,15 +73,11 @@ def restore(current: DataFrame, originals: DataFrame, run_id: str | None = None)
         snap = originals.join(F.broadcast(latest), "run_id", "left_semi")  # one row
     else:
         snap = originals.where(F.col("run_id") == run_id)
-    old = snap.select("path", F.col("text").alias("_old"))
-    return (
-        current.join(old, "path", "full_outer")
-        .select(
-            "path",
-            F.coalesce("_old", "text").alias("text"),
-            F.col("_old").isNotNull().alias("restored"),
-        )
-    )
+    back = snap.select("path", "text", F.lit(True).alias("restored"))
+    # Only paths meet in the join: texts move in neither side unless the list of
+    # restored files is itself too large to broadcast.
+    rest = current.join(snap.select("path"), "path", "left_anti")
+    return rest.select("path", "text", F.lit(False).alias("restored")).unionByName(back)
 
 
 def roll_back(cleaned: DataFrame, failed: DataFrame) -> DataFrame:
