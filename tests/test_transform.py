@@ -165,3 +165,15 @@ def test_annotation(files):
     assert (own.own_line, own.indent, own.inner, own.comment_id) == (True, "  ", "own", "c0001")
     assert own.code_before == "let z = 0;\n\tlet a = 1; /* one\n  two */ let b;"
     assert own.code_after == "last();"
+
+
+def test_required_literals_do_not_lose_a_directive():
+    from commentlake.functions.protect import DIRECTIVE_LITERALS, DIRECTIVES, required_literal
+
+    assert all(len(x) >= 3 for x in DIRECTIVE_LITERALS)
+    assert required_literal(r"\beslint\s*\{") == "eslint"
+    assert required_literal(r"auto-?generated") == "generated"
+    assert required_literal(r"-\*-\s*\w+") == "-*-"
+    assert required_literal(r"^\s*//\s*\+build") == "+build"
+    held = [any(x in p.replace("\\", "").lower() for x in DIRECTIVE_LITERALS) for p in DIRECTIVES]
+    assert all(held)
