@@ -16,6 +16,7 @@ from commentlake.operators import edits as ed
 from commentlake.operators import review as rv
 from commentlake.operators.edits import Options
 from commentlake.plans import report
+from commentlake.session import work_dir
 from commentlake.sources import files as src
 from commentlake.sources import snapshots as snap
 from commentlake.streaming import incremental
@@ -342,7 +343,7 @@ def _answers(spark, d):
     filled = q.withColumns(
         {"new_text": reply, "file_sha1": stale, "raw_sha1": odd, "deletable": F.col("deletable") & (n % 3 != 0)}
     )
-    path = incremental.work_dir(spark, "reviews")
+    path = work_dir(spark, "reviews")
     rv.write_reviews(filled, path)
     return rv.read_reviews(spark, path)[0]
 
@@ -409,7 +410,7 @@ def stream_comments(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     landed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     files = spark.sql(C.EVENTS.replace("FROM events", "FROM {events}"), events=landed)
-    base = incremental.work_dir(spark, "stream_comments")
+    base = work_dir(spark, "stream_comments")
     query = incremental.extract_stream(files, f"{base}/comments", f"{base}/state", languages=JS)
     query.awaitTermination()
     return spark.read.parquet(f"{base}/comments").select("path", "comment_id", "start", "kind", "text")

@@ -6,8 +6,6 @@ stream: no watermark, no state store, append output.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,17 +19,6 @@ from commentlake.sources.files import decode
 LANDED = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names.
-
-    Only where ``spark.checkpoint.dir`` is unset, as in tests, is it a local one.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
-    return f"{(shared or tempfile.mkdtemp(prefix='commentlake-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def landed_files(spark: SparkSession, directory: str, per_trigger: int | None = None) -> DataFrame:
     """A stream of files as they land below ``directory``."""
     reader = spark.readStream.format("binaryFile").schema(LANDED).option("recursiveFileLookup", True)
