@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, quality_rules
+from commentlake.llm import exact_dedup, quality_rules, simhash
 from commentlake.llm.common import table
 
 
@@ -21,7 +21,13 @@ def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup)}
+def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
+    at = simhash.grouped(table(spark, d, "documents"))
+    bits = F.lower(F.lpad(F.hex("print"), 16, "0"))
+    return at.select("doc_id", bits.alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup, op9_simhash)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
