@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, quality_rules, simhash
+from commentlake.llm import exact_dedup, quality_rules, secret_scan, simhash
 from commentlake.llm.common import table
 
 
@@ -21,13 +21,26 @@ def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    repository = F.concat_ws("/", "source", "lang")
+    at = secret_scan.scan(docs, repository=repository, carried=F.struct("doc_id"))
+    spans = F.col("spans")
+    count = lambda kind: F.size(F.filter(spans, lambda x: x["c"]["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return secret_scan.judged(at).select(
+        "carried.doc_id", *map(count, secret_scan.BASE),
+        F.sha2(F.encode(secret_scan.listed(spans, base_only=True), "UTF-8"), 256).alias("base_sha256"),
+        secret_scan.listed(spans, base_only=False).alias("spans"),
+    )
+
+
 def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     at = simhash.grouped(table(spark, d, "documents"))
     bits = F.lower(F.lpad(F.hex("print"), 16, "0"))
     return at.select("doc_id", bits.alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup, op8_secret_scan, op9_simhash)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
