@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from commentlake.llm.common import ascii_lower, staged
 from commentlake.session import work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each store would reserve 4 MB for its log, which many small stores never fill.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 ARRIVAL = "digest string, id long, file string, at long"
 
 
@@ -58,8 +62,9 @@ def absorb(spark: SparkSession, folder: str, checkpoint: str) -> None:
     The checkpoint holds the state's versions: after a lost executor or driver a
     further call goes on from the last finished batch.
     """
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         landed = spark.readStream.schema(ARRIVAL).parquet(folder)
         # A struct's maximum is that of its first field, then of the next: the
@@ -71,7 +76,8 @@ def absorb(spark: SparkSession, folder: str, checkpoint: str) -> None:
             availableNow=True
         ).start().awaitTermination()
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def state(spark: SparkSession, checkpoint: str) -> DataFrame:
