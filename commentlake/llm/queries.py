@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, quality_rules, secret_scan, simhash
+from commentlake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_files
 from commentlake.llm.common import table
 
 
@@ -14,6 +14,16 @@ def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return at.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
 
 
+def op4_token_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    manifest = token_files.write(table(spark, d, "documents"), folder)
+    return token_files.read_checksums(spark, manifest, folder)
+
+
+def op5_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(packing.pieces(table(spark, d, "documents"))).drop("ids")
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     at = exact_dedup.deduplicated(table(spark, d, "documents"))
     return at.select(
@@ -40,7 +50,7 @@ def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return at.select("doc_id", bits.alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_exact_dedup, op8_secret_scan, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
