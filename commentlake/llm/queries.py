@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_files
+from commentlake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_files, warc
 from commentlake.llm.common import table
 
 
+def op1_warc(spark: SparkSession, d: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    warc.write(table(spark, d, "pages"), folder)
+    return warc.read(spark, folder, with_payload=False).drop("url", "payload")
+
+
 def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     at = quality_rules.judged(table(spark, d, "documents"))
     return at.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -50,7 +56,7 @@ def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return at.select("doc_id", bits.alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
@@ -82,10 +88,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND n_stop / d >= 0.01 AND n_dup_lines / greatest(n_lines, 1) <= 0.4 AND max_word_chars <= 1000 AS kept
 FROM judged"""
 
+# DuckDB has no SHA-1 in base 32, but its hexadecimal digits can be regrouped.
+_OP1 = """
+WITH pages AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+hashed AS (SELECT page_id, p, octet_length(p) AS payload_bytes, sha1(p) AS h, min(page_id) OVER (PARTITION BY p) AS first FROM pages),
+bits AS (
+  SELECT *, list_aggregate([lpad(bin(('0x' || substr(h, k, 2))::INT), 8, '0') FOR k IN range(1, 40, 2)], 'string_agg', '') AS b FROM hashed)
+SELECT page_id, payload_bytes,
+  list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+      16 * substr(b, k, 1)::INT + 8 * substr(b, k + 1, 1)::INT + 4 * substr(b, k + 2, 1)::INT
+      + 2 * substr(b, k + 3, 1)::INT + substr(b, k + 4, 1)::INT), 1) FOR k IN range(1, 160, 5)], 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
 _OP6 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
   sha256(t) AS text_sha256
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)"""
 
-ORACLES = {"op3_quality_rules": _OP3, "op6_exact_dedup": _OP6}
+ORACLES = {"op1_warc": _OP1, "op3_quality_rules": _OP3, "op6_exact_dedup": _OP6}
