@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash, token_files, warc
+from commentlake.llm import exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, token_files, warc
 from commentlake.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.read(spark, folder, with_payload=False).drop("url", "payload")
 
 
+def op2_piece_sampling(spark: SparkSession, d: str) -> DataFrame:
+    return piece_sampling.round_trip(table(spark, d, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     at = quality_rules.judged(table(spark, d, "documents"))
     return at.select("row.doc_id", *quality_rules.MEASURES, "base_failed", "kept")
@@ -56,7 +60,7 @@ def op9_simhash(spark: SparkSession, d: str) -> DataFrame:
     return at.select("doc_id", bits.alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_piece_sampling, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
