@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, token_files, warc, weak_labels
+from commentlake.llm import exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, token_files, warc, weak_labels
 from commentlake.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, d, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     repository = F.concat_ws("/", "source", "lang")
@@ -64,7 +68,7 @@ def op10_weak_labels(spark: SparkSession, d: str) -> DataFrame:
     return weak_labels.judged(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_piece_sampling, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op8_secret_scan, op9_simhash, op10_weak_labels)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_piece_sampling, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op7_substring_dedup, op8_secret_scan, op9_simhash, op10_weak_labels)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
