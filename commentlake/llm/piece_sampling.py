@@ -3,7 +3,7 @@
 All ways to spell a text in pieces form a lattice. Forward filtering sums their
 weights from the left; backward sampling then walks from the end, choosing each
 piece in proportion to what leads to it. No piece holds a space but at its start,
-so the lattice falls apart at spaces and is filtered once per distinct unit (the
+and none a line end, so the lattice falls apart at those and is filtered once per distinct unit (the
 spaces before a word and the word); the walk goes through all units of a batch
 together. Each choice draws from a counter of (seed, row key, place in the text):
 neither batches nor partitions nor retries change it.
@@ -28,7 +28,10 @@ from commentlake.llm.common import mix
 SEED, SHARPNESS = 42, 1.5
 #: Lattice nodes held per worker; beyond it the memory starts anew.
 HELD_NODES = 2_500_000
-_UNITS = re.compile(r" *[^ ]+| +").findall
+#: Longest unit that is filtered together with others.
+BLOCK_CHARS = 48
+_UNITS = re.compile(r" *[^ \n]+| +|\n").findall
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,8 +41,30 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: str):
+        self._kept, self.n = np.empty(1 << 16, dtype=kind), 0
+
+    def extend(self, values) -> None:
+        values = np.asarray(values, dtype=self._kept.dtype)
+        while self.n + len(values) > len(self._kept):
+            self._kept = np.concatenate([self._kept, np.empty_like(self._kept)])
+        self._kept[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    @property
+    def array(self) -> np.ndarray:
+        return self._kept[: self.n]
+
+
 class Lattice:
-    """A model's pieces with weights, and the filtered lattices of the units seen."""
+    """A model's pieces with weights, and the filtered lattices of the units seen.
+
+    Units of one length are filtered together; those that hold a character of
+    several bytes without a piece, or are long, one by one.
+    """
 
     def __init__(self, path: str, sharpness: float = SHARPNESS):
         from sentencepiece import SentencePieceProcessor
@@ -52,8 +77,8 @@ class Lattice:
         ranks = all(s <= 0 and s == int(s) for s in scores.values())
         weight = (lambda s: -sharpness * math.log(2 - s)) if ranks else (lambda s: sharpness * s)
         self.piece = {model.id_to_piece(i).replace("▁", " "): (i, weight(scores[i])) for i in usual}
-        if any(" " in p.lstrip(" ") for p in self.piece):
-            raise ValueError("a piece with a space inside: units would not be independent")
+        if any(" " in p.lstrip(" ") or "\n" in p for p in self.piece):
+            raise ValueError("a piece with a space or line end inside: units would not be independent")
         self.longest = max(map(len, self.piece))
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.least = min(w for _, w in self.piece.values())
@@ -62,21 +87,107 @@ class Lattice:
             self.spelled[i] = p.encode()
         for b, i in enumerate(self.byte):
             self.spelled[i] = bytes([b])
+        self._tabulate()
         self.clear()
 
+    def _tabulate(self) -> None:
+        """Pieces by the hash of their characters, in an open table with short probes."""
+        self._power = np.ones(BLOCK_CHARS + 1, dtype=np.uint64)
+        self._power[1:] = np.multiply.accumulate(np.full(BLOCK_CHARS, _BASE, dtype=np.uint64))
+        size = 1 << 19
+        self._mask = np.uint64(size - 1)
+        self._slot_hash, self._slot = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int64)
+        self._weight, self._piece_id = np.zeros(len(self.piece)), np.zeros(len(self.piece), dtype=np.int32)
+        self._probes = 1
+        for k, (p, (i, w)) in enumerate(self.piece.items()):
+            h = int(self._sums(np.array([[ord(c) for c in p]], dtype=np.uint64))[0, -1])
+            at = int(mix(np.array([h], dtype=np.uint64))[0]) & (size - 1)
+            probe = 1
+            while self._slot[at] >= 0:
+                at, probe = (at + 1) & (size - 1), probe + 1
+            self._slot_hash[at], self._slot[at] = h, k
+            self._weight[k], self._piece_id[k] = w, i
+            self._probes = max(self._probes, probe)
+
+    def _sums(self, chars: np.ndarray) -> np.ndarray:
+        """Hash of every prefix; that of a part follows by one product."""
+        out = np.zeros((chars.shape[0], chars.shape[1] + 1), dtype=np.uint64)
+        coded = mix(chars + np.uint64(1))
+        for k in range(chars.shape[1]):
+            out[:, k + 1] = out[:, k] * _BASE + coded[:, k]
+        return out
+
+    def _lookup(self, h: np.ndarray) -> np.ndarray:
+        """The piece's number for each hash, -1 for none."""
+        at = mix(h) & self._mask
+        found = np.where(self._slot_hash[at] == h, self._slot[at], -1)
+        for _ in range(self._probes - 1):
+            at = (at + np.uint64(1)) & self._mask
+            found = np.where((found < 0) & (self._slot_hash[at] == h), self._slot[at], found)
+        return found
+
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
-        self._first: list[int] = [] # of a unit: its first node
-        self._last: list[int] = []  # and its last
-        self._key: list[float] = []  # of an edge: its node plus the probability up to it
-        self._id: list[int] = []
-        self._from: list[int] = []  # the node an edge comes from, -1 for the unit's start
+        self._first, self._last = _Column("i8"), _Column("i8")  # of a unit: its first node and its last
+        self._key = _Column("f8")  # of an edge: its node plus the probability up to it
+        self._id, self._from = _Column("i4"), _Column("i8")  # its piece, and its node of origin or -1
         self._nodes = 0
 
-    def _filter(self, unit: str) -> int:
+    def _learn(self, units: set[str]) -> None:
+        by_size: dict[int, list[str]] = {}
+        for u in sorted(units):
+            if len(u) <= BLOCK_CHARS and not any(len(c.encode()) > 1 and c not in self.piece for c in set(u)):
+                by_size.setdefault(len(u), []).append(u)
+            else:
+                self._filter(u)
+        for size, same in by_size.items():
+            step = max(1, 400_000 // (size * min(size, self.longest)))
+            for at in range(0, len(same), step):
+                self._filter_block(same[at : at + step], size)
+
+    def _filter_block(self, units: list[str], size: int) -> None:
+        """Forward-filter units of one length together."""
+        m = len(units)
+        chars = np.frombuffer("".join(units).encode("utf-32-le"), dtype="<u4").reshape(m, size).astype(np.uint64)
+        sums = self._sums(chars)
+        alpha = np.zeros((m, size + 1))
+        base = self._nodes + size * np.arange(m)
+        keys, ids, origins = [], [], []
+        for e in range(1, size + 1):
+            s = np.arange(max(0, e - self.longest), e)
+            found = self._lookup(sums[:, e : e + 1] - sums[:, s] * self._power[e - s][None, :])
+            value = np.where(found >= 0, self._weight[found] + alpha[:, s], -np.inf)
+            piece = self._piece_id[found]
+            bare = found[:, -1] < 0  # no piece for the character: its byte
+            value[bare, -1] = self.least + alpha[bare, e - 1]
+            piece[bare, -1] = self._byte_ids[chars[bare, e - 1].astype(np.int64)]
+            top = value.max(axis=1, keepdims=True)
+            share = np.exp(value - top)
+            run = np.cumsum(share, axis=1)
+            alpha[:, e] = top[:, 0] + np.log(run[:, -1])
+            run /= run[:, -1:]
+            row, col = np.nonzero(value > -np.inf)
+            keys.append((base[row] + e - 1) + run[row, col])
+            ids.append(piece[row, col])
+            origins.append(np.where(s[col] > 0, base[row] + s[col] - 1, -1))
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        self._key.extend(key[order])
+        self._id.extend(np.concatenate(ids)[order])
+        self._from.extend(np.concatenate(origins)[order])
+        self.unit.update(zip(units, range(self._last.n, self._last.n + m), strict=True))
+        self._first.extend(base)
+        self._last.extend(base + size - 1)
+        self._nodes += m * size
+
+    @property
+    def _byte_ids(self) -> np.ndarray:
+        return np.array(self.byte, dtype=np.int32)
+
+    def _filter(self, unit: str) -> None:
         """Forward-filter one unit; nodes are ends of pieces, of bytes where no piece fits."""
         piece, longest = self.piece, self.longest
-        key, ids, origin = self._key, self._id, self._from
+        key, ids, origin = [], [], []
         first = node = self._nodes
         size = len(unit)
         alpha = [0.0] + [-math.inf] * size
@@ -84,7 +195,7 @@ class Lattice:
         for e in range(1, size + 1):
             edges = []
             for s in range(max(0, e - longest), e):
-                if alpha[s] > -math.inf and (found := piece.get(unit[s:e])):
+                if found := piece.get(unit[s:e]):
                     edges.append((alpha[s] + found[1], found[0], at[s]))
             if unit[e - 1] not in piece:
                 raw = unit[e - 1].encode("utf-8")
@@ -107,55 +218,61 @@ class Lattice:
                 origin.append(before)
             key[-1] = node + 1.0
             node += 1
+        self.unit[unit] = self._last.n
+        self._key.extend(key)
+        self._id.extend(ids)
+        self._from.extend(origin)
+        self._first.extend([first])
+        self._last.extend([node - 1])
         self._nodes = node
-        self._first.append(first)
-        self._last.append(node - 1)
-        self.unit[unit] = number = len(self._last) - 1
-        return number
 
     def sample(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Ids of each text, sampled for its key."""
-        if self._nodes > HELD_NODES:
-            self.clear()
-        known, units, starts, counts = self.unit, [], [], []
-        for text in texts:
-            # The space that begins every text lets its first word look like the others.
-            own = _UNITS(" " + text) if text else []
-            at = 0
-            for u in own:
-                number = known.get(u)
-                units.append(self._filter(u) if number is None else number)
-                starts.append(at)
-                at += len(u)
-            counts.append(len(own))
-        unit = np.array(units, dtype=np.int64)
-        first, last = np.array(self._first), np.array(self._last)
-        key, ids = np.array(self._key), np.array(self._id, dtype=np.int32)
-        origin = np.array(self._from, dtype=np.int64)
+        if not texts:
+            return []
+        # The space that begins every text lets its first word look like the others.
+        lists = [_UNITS(" " + t) if t else [] for t in texts]
+        new = set().union(*lists).difference(self.unit)
+        if new:
+            if self._nodes > HELD_NODES:
+                self.clear()
+                new = set().union(*lists)
+            self._learn(new)
+        flat = [u for own in lists for u in own]
+        if not flat:
+            return [np.zeros(0, dtype=np.int32) for _ in texts]
+        counts = np.array([len(own) for own in lists])
+        unit = np.fromiter(map(self.unit.__getitem__, flat), dtype=np.int64, count=len(flat))
+        sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+        opens = np.cumsum(counts) - counts
+        begin = np.cumsum(sizes) - sizes
+        starts = begin - np.repeat(begin[np.minimum(opens, len(begin) - 1)], counts)
+        key, ids, origin = self._key.array, self._id.array, self._from.array
         seeds = np.repeat(mix(mix(keys.astype(np.int64).view(np.uint64)) ^ np.uint64(SEED)), counts)
         # A place is four times a character's, room for its bytes.
-        place = seeds + np.array(starts, dtype=np.uint64) * np.uint64(4) * _GOLDEN
+        place = seeds + starts.astype(np.uint64) * np.uint64(4) * _GOLDEN
         live = np.arange(len(unit))
-        node = last[unit] if len(unit) else unit
-        base = first[unit] if len(unit) else unit
+        node, base = self._last.array[unit], self._first.array[unit]
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         taken = np.zeros(len(unit), dtype=np.int64)
         while len(live):
             draw = (mix(place[live] + (node - base[live]).astype(np.uint64) * _GOLDEN) >> np.uint64(11)) * 2.0**-53
+            # Node and share in one number keep 2 ** -30 of the share; a draw that
+            # rounds up to the next node is taken back to the last edge of its own.
             edge = np.searchsorted(key, node + draw, side="right")
-            # A sum of floats may fall a hair short of the node's last key.
-            edge = np.minimum(edge, np.searchsorted(key, node + 1.0, side="left"))
+            over = key[np.maximum(edge - 1, 0)] >= node + 1.0
+            edge = edge - (over & (edge > 0))
             steps.append((live, ids[edge]))
             taken[live] += 1
             node = origin[edge]
             on = node >= 0
             live, node = live[on], node[on]
         end = np.cumsum(taken)
-        out = np.empty(int(end[-1]) if len(end) else 0, dtype=np.int32)
+        out = np.empty(int(end[-1]), dtype=np.int32)
         for k, (who, what) in enumerate(steps):
             out[end[who] - 1 - k] = what
-        cut = np.concatenate([[0], end])[np.cumsum(counts)] if len(unit) else np.zeros(len(texts), dtype=np.int64)
-        return np.split(out, cut[:-1]) if len(texts) else []
+        cut = np.concatenate([[0], end])[np.cumsum(counts)]
+        return np.split(out, cut[:-1])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that was encoded; for no ids the empty one."""
