@@ -187,8 +187,8 @@ def _example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [Measured(t.as_py()).features() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([p.tolist() for p, _ in found], pa.list_(pa.int64())),
-            pa.array([v.tolist() for _, v in found], pa.list_(pa.float64())),
+            batch.column(0), pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
+            pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()),
         ], ["pattern", "place", "value"])
 
 
@@ -212,11 +212,11 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample:
     chosen = staged(ids.orderBy(order, "doc_id").limit(sample), "weak-sample")
     words = rows.join(F.broadcast(chosen), "doc_id").where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
     examples = words.select("pattern", "text").mapInArrow(
-        _example, "pattern int, place array<long>, value array<double>"
+        _example, "pattern int, place binary, value binary"
     ).collect()
-    examples.sort(key=lambda r: (r["pattern"], r["place"]))
+    examples.sort(key=lambda r: (r["pattern"], r["place"], r["value"]))
     w, b = fit(
-        [(np.array(r["place"]), np.array(r["value"])) for r in examples],
+        [(np.frombuffer(r["place"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in examples],
         np.array([posterior[r["pattern"]] for r in examples]),
     )
     scored = rows.mapInArrow(_scorer(w.astype(np.float32), b), "doc_id long, pattern int, score double")
