@@ -28,6 +28,8 @@ SHINGLE, SEED, REACH = 3, 42, 3
 #: 64 bits in five blocks: within three differing bits two blocks are untouched.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PIVOTS = 16
+#: Fingerprints under one key, about. Those of a larger one meet under finer keys.
+KEY_ROWS = 20_000
 
 
 def references(n: int = PIVOTS, seed: int = SEED) -> np.ndarray:
@@ -164,9 +166,51 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch_of(linked(np.concatenate(kept)))
 
 
+def _rest_masks() -> list[list[int]]:
+    """For each pair of blocks the other bits in four parts: one is untouched within three differing bits."""
+    out = []
+    for pair in combinations(range(len(BLOCKS)), 2):
+        rest = [b for k, (at, size) in enumerate(BLOCKS) if k not in pair for b in range(at, at + size)]
+        masks = [sum(1 << b for b in rest[part :: REACH + 1]) for part in range(REACH + 1)]
+        out.append([m - (1 << 64) if m >> 63 else m for m in masks])
+    return out
+
+
+def _large(keyed: DataFrame) -> DataFrame:
+    """(key, n) of the keys with more rows than one task should hold."""
+    return staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > KEY_ROWS), "simhash-large")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """The same meetings under keys of bounded size; hashed keys that collide only cost comparisons.
+
+    A large key first splits by the parts of the bits it leaves open. Where that is
+    not enough, its rows are dealt into tiles, and every two tiles meet once.
+    """
+    large = _large(keyed)
+    if large.isEmpty():
+        return keyed
+    masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in row]) for row in _rest_masks()])
+    own = F.get(masks, F.shiftright("key", 32).cast("int"))
+    finer = keyed.join(large, "key").select(
+        "key", "rep", "print", F.posexplode(own).alias("part", "mask")
+    ).select(F.xxhash64("key", "part", F.col("print").bitwiseAND(F.col("mask"))).alias("key"), "rep", "print")
+    kept = keyed.join(large, "key", "left_anti")
+    still = _large(finer)
+    tiles = F.ceil(F.col("n") / KEY_ROWS).cast("int")
+    tile = F.pmod(F.xxhash64("print"), tiles).cast("int")
+    other = F.explode(F.filter(F.sequence(F.lit(0), tiles - 1), lambda j: j != F.col("tile")))
+    tiled = finer.join(still, "key").select("key", "rep", "print", "n", tile.alias("tile")).select(
+        "key", "rep", "print", "tile", other.alias("other")
+    ).select(
+        F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("key"), "rep", "print"
+    )
+    return kept.unionByName(finer.join(still, "key", "left_anti")).unionByName(tiled)
+
+
 def links(reps: DataFrame) -> DataFrame:
     """Edges (a, b) between representatives (rep, print) that connect all close ones."""
-    keyed = reps.select(F.explode(_keys(F.col("print"))).alias("key"), "rep", "print")
+    keyed = _dealt(reps.select(F.explode(_keys(F.col("print"))).alias("key"), "rep", "print"))
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long")
 
 
