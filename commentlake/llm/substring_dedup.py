@@ -6,6 +6,8 @@ than one text. Surroundings with one anchor meet in one shard. There an FM-index
 is built over them, and each is streamed through it: backward search gives its
 matching statistics, and every window that begins in a smaller document is
 reported as an interval. Copies of a whole text are one text until the end.
+The surroundings of one anchor stay together, so anchors of very many texts take
+an exact way without a shard: a partial minimum over their hashed windows.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from commentlake.llm.fm_index import FMIndex
 WINDOW, GRAM = 50, 8
 #: Words of one index at most; an anchor with more is worked off in pairs of such blocks.
 SHARD_WORDS = 1_200_000
+#: An anchor in more texts than this is not gathered: its windows are grouped one by one.
+HOT_TEXTS = 100_000
 #: Segments streamed through an index at a time.
 STREAM = 8192
 _WORDS = re.compile(r"[^ \t-\r]+").findall
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _STEP_2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -109,6 +113,31 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 )
 
 
+def _windows(text: str, hot: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes, other hashes) of the windows that hold the anchors at ``hot``."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    h = word_hashes(data, *word_bounds(data))
+    around = (np.array(hot, dtype=np.int64)[:, None] - np.arange(WINDOW - GRAM + 1)).ravel()
+    at = np.unique(around[(around >= 0) & (around <= len(h) - WINDOW)])
+    w1, w2 = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+    for j in range(WINDOW):
+        w1, w2 = w1 * _STEP + h[at + j], w2 * _STEP_2 + mix(h[at + j])
+    return at, mix(w1).view(np.int64), mix(w2).view(np.int64)
+
+
+WINDOWS = "w1 long, w2 long, body long, first int, own long"
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for body, own, text, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            at, w1, w2 = _windows(text, hot)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), body)), pa.array(at.astype(np.int32)),
+                 pa.array(np.full(len(at), own))], ["w1", "w2", "body", "first", "own"],
+            )
+
+
 RUNS = "k1 long, k2 long, runs array<struct<at: int, n: int, doc: long>>"
 _RUN = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc", pa.int64())]))
 
@@ -217,7 +246,7 @@ def _clean(text: str, doc_id: int | None, least: int | None, found: list[dict] |
 def _prepare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts that share nothing are done with here; the others are carried on."""
     for batch in batches:
-        ids, bodies, texts, least, places, hashes = (c.to_pylist() for c in batch.columns)
+        ids, texts, least, places = (batch.column(c).to_pylist() for c in ("doc_id", "text", "least", "places"))
         done = [
             _clean(t or "", None, None, None) if p is None and (m is None or i is None or m == i) else None
             for i, t, m, p in zip(ids, texts, least, places, strict=True)
@@ -225,10 +254,10 @@ def _prepare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1),
             pa.array([None if d else t or "" for d, t in zip(done, texts, strict=True)], pa.string()),
-            batch.column(3), batch.column(4), batch.column(5),
+            batch.column(3), batch.column(4), batch.column(5), batch.column(6),
             pa.array([d[0] if d else None for d in done], pa.int64()), pa.array([d[1] if d else None for d in done], pa.int64()),
             pa.array([d[2] if d else None for d in done], pa.string()),
-        ], ["doc_id", "body", "text", "least", "places", "hashes", "n_words", "n_removed", "kept_sha256"])
+        ], ["doc_id", "body", "text", "least", "places", "hashes", "hot", "n_words", "n_removed", "kept_sha256"])
 
 
 def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,22 +273,28 @@ def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 PREPARED = ("doc_id long, body long, text string, least long, places array<int>, hashes array<long>, "
-            "n_words long, n_removed long, kept_sha256 string")
+            "hot array<int>, n_words long, n_removed long, kept_sha256 string")
 
 
 def shared_anchors(heads: DataFrame) -> DataFrame:
-    """(body, places, hashes) of the anchors that occur in two texts or more.
+    """(body, places, hashes, hot): the anchors that occur in two texts or more.
 
-    Counted by partial minima and maxima; a hash that a third of all texts hold is
+    ``hot`` holds the places of those in more than ``HOT_TEXTS`` texts, the other
+    two the rest. Counted by partial sums; a hash that a third of all texts hold is
     a row per task there, and the join that follows can be split.
     """
-    each = heads.select("body", F.arrays_zip("hashes", "places").alias("z")).select(
-        "body", F.explode("z").alias("z")
-    ).select("body", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place"))
-    common = each.groupBy("hash").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a < b").select("hash")
-    return each.join(common, "hash", "left_semi").groupBy("body").agg(
-        F.array_sort(F.collect_list(F.struct("place", "hash"))).alias("z")
-    ).select("body", F.col("z.place").alias("places"), F.col("z.hash").alias("hashes"))
+    each = heads.select("body", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(
+        "body", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place")
+    )
+    texts = heads.select(F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    common = texts.where("n > 1").select("hash", (F.col("n") > HOT_TEXTS).alias("hot"))
+    z = F.col("z")
+    cold = F.filter(z, lambda x: ~x["hot"])
+    return each.join(common, "hash").groupBy("body").agg(
+        F.array_sort(F.collect_list(F.struct("place", "hash", "hot"))).alias("z")
+    ).select(
+        "body", cold["place"].alias("places"), cold["hash"].alias("hashes"), F.filter(z, lambda x: x["hot"])["place"].alias("hot")
+    )
 
 
 def intervals(prepared: DataFrame) -> DataFrame:
@@ -273,9 +308,21 @@ def intervals(prepared: DataFrame) -> DataFrame:
     )
     places = heads.select("body", "text", "places").mapInArrow(_place_batches, "k1 long, k2 long, body long, first int")
     run = F.struct((F.col("first") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"), F.col("r.doc").alias("doc"))
-    return places.join(runs, ["k1", "k2"]).select("body", "first", F.explode("runs").alias("r")).groupBy("body").agg(
-        F.collect_set(run).alias("found")
+    found = places.join(runs, ["k1", "k2"]).select("body", "first", F.explode("runs").alias("r")).select(
+        "body", run.alias("run")
     )
+    if not prepared.where("size(hot) > 0").select("hot").isEmpty():
+        found = found.unionByName(_hot_windows(prepared))
+    return found.groupBy("body").agg(F.collect_set("run").alias("found"))
+
+
+def _hot_windows(prepared: DataFrame) -> DataFrame:
+    """(body, run) around the anchors of very many texts; no task meets more than a row per task of a window."""
+    heads = prepared.where("size(hot) > 0 AND doc_id = least").dropDuplicates(["body"])
+    windows = staged(heads.select("body", "least", "text", "hot").mapInArrow(_window_batches, WINDOWS), "hot-windows")
+    least = windows.groupBy("w1", "w2").agg(F.min("own").alias("doc"), F.max("own").alias("last")).where("doc < last")
+    run = F.struct("first", F.lit(1).alias("n"), "doc")
+    return windows.join(least, ["w1", "w2"]).where("doc < own").select("body", run.alias("run"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,7 +344,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     about = heads.select("body", "least").join(shared_anchors(heads), "body", "left")
     prepared = staged(
-        rows.join(about, "body", "left").select("doc_id", "body", "text", "least", "places", "hashes").mapInArrow(
+        rows.join(about, "body", "left").select("doc_id", "body", "text", "least", "places", "hashes", "hot").mapInArrow(
             _prepare_batches, PREPARED
         ),
         "prepared",
