@@ -132,6 +132,13 @@ def test_substring_dedup_matches_hashing_windows(docs):
     assert got == sorted(found, key=repr) and any(r[2] for r in got)
 
 
+def test_anchors_of_very_many_texts_give_the_same(docs, monkeypatch):
+    columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
+    whole = rows_of(substring_dedup.deduplicated(docs), *columns)
+    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", 1)  # every shared anchor
+    assert rows_of(substring_dedup.deduplicated(docs), *columns) == whole
+
+
 def test_large_anchor_is_worked_off_in_pairs_of_blocks(monkeypatch):
     common = " ".join(f"c{i}" for i in range(60))
     segments = [(7, f"l{d} {common} r{d}", d, 1) for d in range(40)]
@@ -187,6 +194,26 @@ def test_simhash_matches_all_pairs(docs):
     assert kept.columns == docs.columns and set(group.values()) == {r[0] for r in rows_of(kept, "doc_id") if r[0] is not None}
 
 
+@pytest.mark.parametrize("key_rows", [1, 3, 40])
+def test_large_keys_lose_no_link(spark, monkeypatch, key_rows):
+    rng = random.Random(key_rows)
+    base = rng.getrandbits(64)
+    prints = {base, 0}
+    while len(prints) < 150:  # chains of small steps, most of which share blocks
+        prints.add(rng.choice(sorted(prints)) ^ (1 << rng.randrange(30)) ^ (1 << rng.randrange(64)) * rng.randrange(2))
+    numbered = dict(enumerate(sorted(prints)))
+    root = {i: i for i in numbered}
+    for i in numbered:
+        for j in range(i):
+            if (numbered[i] ^ numbered[j]).bit_count() <= 3:
+                a, b = root[i], root[j]
+                root = {k: min(a, b) if r in (a, b) else r for k, r in root.items()}
+    monkeypatch.setattr(simhash, "KEY_ROWS", key_rows)
+    reps = spark.createDataFrame([(i, p - (1 << 64) if p >> 63 else p) for i, p in numbered.items()], "rep long, print long")
+    got = {r["node"]: r["component"] for r in simhash.connected(simhash.links(reps)).collect()}
+    assert {i: got.get(i, i) for i in numbered} == root and len(set(root.values())) < len(root)
+
+
 def test_pivot_tables_lose_no_close_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
