@@ -214,13 +214,10 @@ _JS_TYPES = "(?:javascript|module|ts|jsx?|babel)"
 _SCRIPT = rf"<script\b(?:(?!{_TYPE})|(?={_TYPE}[^\"'\s>]*?{_JS_TYPES}))[^>]*+>"
 _STYLE = r"<style\b[^>]*+>"
 _OPEN = rf"(?:{_SCRIPT}(?=(?s:.*?)</script\s*+>)|{_STYLE}(?=(?s:.*?)</style\s*+>))"
+_ELEMENT = rf"(?:{_SCRIPT}(?s:.*?)(?=</script\s*+>)|{_STYLE}(?s:.*?)(?=</style\s*+>))"
 _MARKUP = rf"(?:[^<]++|<(?!(?:script|style)\b)|(?!{_OPEN})<)"
-# Pieces alternate: markup up to and including an opening tag, then its body.
-MARKUP_PIECES = (
-    r"(?i)(?<=<script\b[^>]{0,4096}>)(?!</script\s*+>)(?s:.+?)(?=</script\s*+>)"
-    r"|(?<=<style\b[^>]{0,4096}>)(?!</style\s*+>)(?s:.+?)(?=</style\s*+>)"
-    rf"|{_MARKUP}*+{_OPEN}|{_MARKUP}++"
-)
+# Pieces alternate: an opening tag with its body, and markup, which starts with the closing tag.
+MARKUP_PIECES = rf"(?i){_ELEMENT}|{_MARKUP}++"
 _HTML_BEFORE_PHP = r"(?:[^<]++|<(?!\?))"
 PHP_PIECES = (
     r"(?i)(?<=<\?|<\?=|<\?php)(?!\?>)(?s:.+?)(?=\?>|\z)"
@@ -233,22 +230,39 @@ def _region(lang: Column, body: Column) -> Column:
 
 
 def markup_regions(text: Column) -> Column:
-    """Regions of a markup file: script and style bodies against the rest."""
+    """Regions of a markup file: script and style bodies against the rest.
+
+    An opening tag belongs to the markup before it.
+    """
 
     def label(pieces: Column) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            tag = F.coalesce(
-                F.regexp_extract(F.get(pieces, i - 1), r"(?i)<(?:script|style)\b[^>]*+>\z", 0), F.lit("")
+        def is_element(i: Column) -> Column:
+            return F.coalesce(F.get(pieces, i + 1).startswith("</"), F.lit(False))
+
+        def parts(piece: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(pieces, i - 1)).otherwise(F.lit(""))
+
+            def element(tag: Column) -> Column:
+                lang = (
+                    F.when(rlike(tag, r"(?i)\A<style"), F.lit("css"))
+                    .when(rlike(tag, r"(?i)lang\s*=\s*[\"']?ts"), F.lit("typescript"))
+                    .otherwise(F.lit("javascript"))
+                )
+                both = F.array(
+                    _region(F.lit("html"), F.concat(before, tag)),
+                    _region(lang, F.substring(piece, F.length(tag) + 1, F.length(piece))),
+                )
+                return F.filter(both, lambda r: r["body"] != "")
+
+            tag = F.regexp_extract(piece, r"(?i)\A<(?:script|style)\b[^>]*+>", 0)
+            alone = F.array(_region(F.lit("html"), piece))
+            return (
+                F.when(is_element(i), let(tag, element))
+                .when(is_element(i + 1), F.slice(alone, 1, 0))  # goes with the tag after it
+                .otherwise(alone)
             )
-            lang = (
-                F.when((tag == "") | piece.startswith("</"), F.lit("html"))
-                .when(rlike(tag, r"(?i)\A<style"), F.lit("css"))
-                .when(rlike(tag, r"(?i)lang\s*=\s*[\"']?ts"), F.lit("typescript"))
-                .otherwise(F.lit("javascript"))
-            )
-            return _region(lang, piece)
 
-        return F.transform(pieces, one)
+        return F.flatten(F.transform(pieces, parts))
 
     return let(find_all(text, MARKUP_PIECES), label)
 

@@ -48,6 +48,9 @@ CASES = [
     ("lua", "--[[ l\nm ]] x = 1 -- n\n", ["--[[ l\nm ]]", "-- n"]),
     ("html", '<a href="http://h">l</a>\n<!-- real -->\n', ["<!-- real -->"]),
     ("html", "<script>\n// js\n</script><!-- h --><style>/* c */</style>", ["// js", "<!-- h -->", "/* c */"]),
+    ("html", '<script data-x="' + "x" * 5000 + '"></script>\n<p>see http://x.y/z and more</p><!-- e -->', ["<!-- e -->"]),
+    ("html", '<style title="' + "x" * 5000 + '">/* s */</style><p>http://x</p><script src="a"></script>// no', ["/* s */"]),
+    ("html", "<script>// a\n</script><script type='text/plain'>// no\n</script><script>// b", ["// a"]),
     ("html", '<script type="application/ld+json">{"u": "//x"}</script>', []),
     ("html", "<script></script><script type=module>//m\n</script><script> // open", ["//m"]),
     ("vue", '<p/><!-- t --><script lang="ts">\n// s\n</script>', ["<!-- t -->", "// s"]),
