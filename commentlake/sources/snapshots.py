@@ -1,8 +1,9 @@
 """Publishing cleaned files with a snapshot of the originals, and going back.
 
-A store is a directory with two Parquet tables, both partitioned by ``run_id``:
-``cleaned`` (what was written) and ``originals`` (what it replaced). Runs are
-only ever added; a run is listed once its ``cleaned`` part is complete.
+A store is a directory with one Parquet table ``runs``, partitioned by ``run_id``,
+of each file's text before and after. ``originals`` and ``cleaned`` are its
+projections, and a projection reads one of the two texts only. Runs are only ever
+added, each by one committed write.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+RUNS = "runs"
 CLEANED, ORIGINALS = "cleaned", "originals"
+#: The column that each projection shows as its text.
+_TEXT = {CLEANED: "after", ORIGINALS: "before"}
 
 
 def new_run_id() -> str:
@@ -31,30 +35,24 @@ def rejected(cleaned: DataFrame) -> DataFrame:
 
 def publish(cleaned: DataFrame, store: str, run_id: str | None = None,
             failed: DataFrame | None = None) -> str:
-    """Write one run: the originals first, then the cleaned files.
+    """Write one run, each file's original beside its cleaned text.
 
-    ``failed`` (path) names files to leave as they were; the rest is kept. Both
-    tables come from one materialised result, so the cleaning runs once.
+    ``failed`` (path) names files to leave as they were; the rest is kept. Texts
+    are written once, and the cleaning runs once.
     """
     run_id = run_id or new_run_id()
-    spark = cleaned.sparkSession
-    part = f"run_id={run_id}"
     changed = publishable(cleaned)
     if failed is not None:
         changed = changed.join(failed.select("path").distinct(), "path", "left_anti")
-    changed.select("path", "lang", "before", "after").write.parquet(f"{store}/staged/{part}")
-    staged = spark.read.parquet(f"{store}/staged/{part}")
-    staged.select("path", "lang", F.col("before").alias("text")).write.parquet(
-        f"{store}/{ORIGINALS}/{part}"
-    )
-    staged.select("path", "lang", F.col("after").alias("text")).write.parquet(
-        f"{store}/{CLEANED}/{part}"
-    )
+    changed.select("path", "lang", "before", "after").write.parquet(f"{store}/{RUNS}/run_id={run_id}")
     return run_id
 
 
 def read_store(spark: SparkSession, store: str, table: str = ORIGINALS) -> DataFrame:
-    return spark.read.parquet(f"{store}/{table}").withColumn("run_id", F.col("run_id").cast("string"))
+    # Named in full, so that run ids stay strings and a filter on them prunes folders.
+    schema = "path string, lang string, before string, after string, run_id string"
+    runs = spark.read.schema(schema).parquet(f"{store}/{RUNS}")
+    return runs.select("path", "lang", F.col(_TEXT[table]).alias("text"), "run_id")
 
 
 def snapshots(originals: DataFrame) -> DataFrame:
@@ -69,10 +67,9 @@ def restore(current: DataFrame, originals: DataFrame, run_id: str | None = None)
     the snapshot that no longer exist come back too.
     """
     if run_id is None:
-        latest = originals.agg(F.max("run_id").alias("run_id"))
-        snap = originals.join(F.broadcast(latest), "run_id", "left_semi")  # one row
-    else:
-        snap = originals.where(F.col("run_id") == run_id)
+        # Reads folder names alone in a store; the snapshot below is then pruned to it.
+        run_id = originals.agg(F.max("run_id")).first()[0]
+    snap = originals.where(F.col("run_id") == run_id)
     back = snap.select("path", "text", F.lit(True).alias("restored"))
     # Only paths meet in the join: texts move in neither side unless the list of
     # restored files is itself too large to broadcast.
