@@ -382,6 +382,7 @@ SELECT *, round(comment_lines * CAST(100 AS DOUBLE) / greatest(1, total_lines),
     "first_files": f"{_COUNTS} SELECT * FROM counts ORDER BY path LIMIT 40",
     "flagged_top": f"""{_RATED} SELECT path, line, round(ai_score, 2) AS score, left(inner_, 100) AS text FROM rated
 WHERE {_FLAG} ORDER BY path, start LIMIT 200""",
+    "flagged_all": f"{_RATED} SELECT path, start AS \"start\", line, round(ai_score, 2) AS score, inner_ AS text FROM rated WHERE {_FLAG}",
     "report_json": f"""{_COUNTS} SELECT concat('{{"mode":"scan","path":"', path, '","changeable":', changeable, ',"flagged":', flagged,
   ',"protected":', protected, '}}') AS json FROM counts""",
     "clean_prose": f"WITH d AS (SELECT doc_id, text FROM documents), {_prose('d', 'text')} SELECT doc_id, p AS prose FROM prose",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commentlake.catalog import corpora as C
+from commentlake.dims import MAX_BYTES
 from commentlake.functions import shorten
 from commentlake.functions.hof import pinned
 from commentlake.functions.protect import Protections
@@ -34,15 +35,15 @@ def _hashed(spark: SparkSession, d: str, select: str) -> DataFrame:
 
 # ---- selection --------------------------------------------------------------
 def select_files(spark, d):
-    return src.select_files(_files(spark, d, C.PATHS)).select("path", "size", "lang")
+    return src.select_files(_files(spark, d, C.PATHS), max_bytes=MAX_BYTES).select("path", "size", "lang")
 
 
 def select_visible_files(spark, d):
-    return src.select_files(_files(spark, d, C.PATHS), skip_hidden=True).select("path", "lang")
+    return src.select_files(_files(spark, d, C.PATHS), max_bytes=MAX_BYTES, skip_hidden=True).select("path", "lang")
 
 
 def skipped_files(spark, d):
-    return src.skipped_files(_files(spark, d, C.PATHS))
+    return src.skipped_files(_files(spark, d, C.PATHS), max_bytes=MAX_BYTES)
 
 
 def language_of_file(spark, d):
@@ -196,11 +197,15 @@ def scan_files(spark, d):
 
 
 def first_files(spark, d):
-    return report.first_files(report.scan_files(_counts(spark, d)))
+    return report.first_files(report.scan_files(_counts(spark, d)), 40)
 
 
 def flagged_top(spark, d):
-    return report.flagged_top(_scan(spark, d)).select("path", "line", "score", "text")
+    return report.flagged_top(_scan(spark, d), 200, width=100).select("path", "line", "score", "text")
+
+
+def flagged_all(spark, d):
+    return report.flagged(_scan(spark, d)).select("path", "start", "line", "score", "text")
 
 
 def report_json(spark, d):
@@ -425,7 +430,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         ts_comments, comment_positions, comment_context, bare_doc_lines,
         protected_by_reason, license_headers, protection_details, unprotected_when_off,
         style_openers, style_restates, style_score, style_score_sql, style_tags,
-        scan_totals, scan_files, first_files, flagged_top, report_json,
+        scan_totals, scan_files, first_files, flagged_top, flagged_all, report_json,
         clean_prose, fit_budget, truncate_text, banner_groups, dedupe_nearby,
         strip_comments, canonical_code, canonical_pages, delete_comments, delete_sql_comments,
         delete_page_comments, delete_flagged, reduce_comments, reduce_documents, shrink_docs,

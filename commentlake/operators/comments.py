@@ -23,12 +23,12 @@ Get = Callable[[str], Column]
 
 # Building these expressions takes thousands of calls into the JVM and depends on
 # nothing but the arguments, so they are built once per JVM.
-def _jvm() -> int:
-    return id(SparkContext._jvm)
+def _jvm():
+    return SparkContext._jvm
 
 
 @lru_cache(maxsize=64)
-def _lexer_columns(source: str, languages: tuple, prefix: str, jvm: int) -> dict[str, Column]:
+def _lexer_columns(source: str, languages: tuple, prefix: str, jvm) -> dict[str, Column]:
     tok, pos, bol, flag = (prefix + n for n in ("tok", "pos", "bol", "is"))
     return {
         tok: pinned(lexer.tokens(F.col(source), F.col("lang"), languages)),
@@ -178,7 +178,7 @@ def add_fields(df: DataFrame, names: list[str], layer: Callable[[Get], Mapping[s
 
 
 @lru_cache(maxsize=256)
-def _grown(layer, names: tuple, array: str, jvm: int) -> tuple[Column, tuple]:
+def _grown(layer, names: tuple, array: str, jvm) -> tuple[Column, tuple]:
     added: list[str] = []
 
     def grow(c: Column) -> Column:
@@ -192,7 +192,7 @@ def _grown(layer, names: tuple, array: str, jvm: int) -> tuple[Column, tuple]:
 
 
 @lru_cache(maxsize=64)
-def _row_columns(layer, jvm: int) -> dict[str, Column]:
+def _row_columns(layer, jvm) -> dict[str, Column]:
     return dict(layer(F.col))
 
 

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from commentlake.functions.score import FLAGGED
 
-TOP_FLAGGED = 200
-TOP_FILES = 40
-
 
 def is_flagged() -> Column:
     return F.col("protected").isNull() & (F.col("ai_score") >= FLAGGED)
@@ -35,20 +32,20 @@ def scan_totals(counts: DataFrame) -> DataFrame:
     return out.withColumn("comment_share", share)
 
 
-def flagged_top(comments: DataFrame, n: int = TOP_FLAGGED) -> DataFrame:
-    """The first flagged comments by file and place, for the report."""
-    return (
-        comments.where(is_flagged())
-        .orderBy("path", "start")
-        .limit(n)
-        .select(
-            "path", "line", F.round("ai_score", 2).alias("score"), "ai_reasons",
-            F.substring("inner", 1, 100).alias("text"),
-        )
+def flagged(comments: DataFrame, width: int | None = None) -> DataFrame:
+    """Every flagged comment, its text whole or cut to ``width`` characters."""
+    text = F.col("inner") if width is None else F.substring("inner", 1, width)
+    return comments.where(is_flagged()).select(
+        "path", "start", "line", F.round("ai_score", 2).alias("score"), "ai_reasons", text.alias("text")
     )
 
 
-def first_files(rows: DataFrame, n: int = TOP_FILES) -> DataFrame:
+def flagged_top(comments: DataFrame, n: int, width: int | None = None) -> DataFrame:
+    """The first ``n`` flagged comments by file and place."""
+    return flagged(comments, width).orderBy("path", "start").limit(n).drop("start")
+
+
+def first_files(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy("path").limit(n)
 
 

@@ -15,7 +15,6 @@ from commentlake.dims import (
     EXCLUDED_DIRS,
     EXCLUDED_SUFFIXES,
     EXT_DIM,
-    MAX_BYTES,
     NAME_DIM,
     NAME_PREFIXES,
 )
@@ -23,17 +22,20 @@ from commentlake.functions.hof import rlike, strings
 
 
 def read_tree(spark: SparkSession, directory: str, glob: str | None = None,
-              max_bytes: int = MAX_BYTES) -> DataFrame:
+              max_bytes: int | None = None) -> DataFrame:
     """Files below a directory as (path, size, content), paths relative to it.
 
-    The size filter reaches the file listing, so larger files are never opened.
+    A size limit reaches the file listing, so larger files are never opened;
+    without one every file is read, and ``skipped_files`` tells what rules drop.
     Spark's file listing leaves out names that start with ``_`` or ``.``; hold a
     corpus that needs them (``__init__.py``, ``.env``) as a table of path and text.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(directory).where(F.col("length") <= max_bytes)
+    files = reader.load(directory)
+    if max_bytes is not None:
+        files = files.where(F.col("length") <= max_bytes)
     root = directory.rstrip("/") + "/"
     return files.select(
         F.substring_index("path", root, -1).alias("path"), F.col("length").alias("size"), "content"
@@ -107,14 +109,14 @@ def with_language(files: DataFrame) -> DataFrame:
 
 
 def is_kept(path: Column, size: Column, lang: Column, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
-            max_bytes: int = MAX_BYTES) -> Column:
-    """The standing selection rules; ``excluded_dirs`` may be extended."""
+            max_bytes: int | None = None) -> Column:
+    """The standing selection rules; ``excluded_dirs`` may be extended, a size limit set."""
     suffixes = "|".join(s.replace(".", r"\.") for s in EXCLUDED_SUFFIXES)
     return (
         ~F.arrays_overlap(F.split(path, "/"), strings(excluded_dirs))
         & ~rlike(path, f"(?:{suffixes})$")
         & lang.isNotNull()
-        & (size <= max_bytes)
+        & (F.lit(True) if max_bytes is None else size <= max_bytes)
     )
 
 
@@ -124,7 +126,7 @@ def is_hidden(path: Column) -> Column:
 
 
 def select_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
-                 max_bytes: int = MAX_BYTES, skip_hidden: bool = False,
+                 max_bytes: int | None = None, skip_hidden: bool = False,
                  unique_paths: bool = False) -> DataFrame:
     """Distinct files the jobs work on, with their language.
 
@@ -138,7 +140,7 @@ def select_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
 
 
 def skipped_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
-                  max_bytes: int = MAX_BYTES) -> DataFrame:
+                  max_bytes: int | None = None) -> DataFrame:
     """Files left out and the first rule that said so; a corpus count is one agg away."""
     found = with_language(files.select("path", "size")).dropDuplicates(["path"])
     suffixes = "|".join(s.replace(".", r"\.") for s in EXCLUDED_SUFFIXES)
@@ -146,8 +148,9 @@ def skipped_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS
         F.when(F.arrays_overlap(F.split("path", "/"), strings(excluded_dirs)), F.lit("excluded_dir"))
         .when(rlike(F.col("path"), f"(?:{suffixes})$"), F.lit("generated"))
         .when(F.col("lang").isNull(), F.lit("unknown_language"))
-        .when(F.col("size") > max_bytes, F.lit("too_large"))
     )
+    if max_bytes is not None:
+        why = why.when(F.col("size") > max_bytes, F.lit("too_large"))
     return found.withColumn("why", why).where(F.col("why").isNotNull()).select("path", "size", "why")
 
 

@@ -33,12 +33,16 @@ def test_tree_is_read_selected_and_decoded(spark, tmp_path):
         "lib/big.py": "#" * 1_000_001,
         "lib/edge.py": "#" * 1_000_000,
     })
-    found = src.decode(src.select_files(src.read_tree(spark, root), skip_hidden=True))
+    found = src.decode(src.select_files(src.read_tree(spark, root, max_bytes=1_000_000), skip_hidden=True))
     got = {r.path: (r.lang, r.text[:20]) for r in found.collect()}
     assert set(got) == {"a.py", "lib/e.PY", "lib/Dockerfile.prod", "lib/edge.py"}
     assert got["a.py"] == ("python", "x = 1\n# c\n")
     assert got["lib/Dockerfile.prod"][0] == "dockerfile"
-    plan = src.read_tree(spark, root)._jdf.queryExecution().executedPlan().toString()
+    everything = src.select_files(src.read_tree(spark, root), skip_hidden=True)
+    assert {r.path for r in everything.collect()} == {*got, "lib/big.py", "lib/bad.py"}
+    left_out = src.skipped_files(src.read_tree(spark, root), max_bytes=1_000_000)
+    assert ("lib/big.py", "too_large") in {(r.path, r.why) for r in left_out.collect()}
+    plan = src.read_tree(spark, root, max_bytes=1_000_000)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "LessThanOrEqual(length,1000000)" in plan
 
 
@@ -67,6 +71,9 @@ def test_publish_restore_and_roll_back(spark, files, tmp_path):
     failed = spark.createDataFrame([("b.py",)], "path string")
     snap.publish(cleaned, store, "20240102-000000", failed)
     originals = snap.read_store(spark, store)
+    one = originals.where(F.col("run_id") == "20240102-000000")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in one and "after" not in one
+    assert {r.text for r in snap.read_store(spark, store, snap.CLEANED).collect()} == {"x = 1\n", "y = 2\n"}
     assert [(r.run_id, r.files) for r in snap.snapshots(originals).collect()] == [
         ("20240102-000000", 1), ("20240101-000000", 2)
     ]
