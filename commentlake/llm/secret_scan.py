@@ -29,12 +29,25 @@ KINDS = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
+#: A line break as it is or escaped, as in a JSON string; one or more of them.
+_BREAK = r"[ \t]*+(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*+"
+_BREAKS = rf"(?:{_BREAK})++"
+_END_OF_LINE = r"""(?=[ \t]*(?:[\r\n"',]|\\[nr]|\Z))"""
+#: A private key from its first line to its last. Where the last is missing, to the last line of
+#: base64; behind an empty line only a long line is taken for that.
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?P<whole>(?:[^-]++|-(?!----(?:BEGIN|END) ))*+)-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?P<cut>(?:{_BREAKS}(?:[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+{_BREAKS})++[A-Za-z0-9+/]++={{0,2}}+{_END_OF_LINE}"
+    rf"|{_BREAK}[A-Za-z0-9+/]++={{0,2}}+{_END_OF_LINE}|{_BREAKS}[A-Za-z0-9+/]{{16,}}+={{0,2}}+{_END_OF_LINE})*+))"
+)
+_WHITE = re.compile(r"\s|\\[nrt]")
 #: Further credentials of public, self-describing formats.
 MORE_KINDS = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 40),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 0, 20),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 27),
+    ("pem", re.compile(PEM), 0, 27),
 )
 BASE = tuple(k[0] for k in KINDS)
 #: What the corpus says about a value, appended as a span over the value.
@@ -58,6 +71,15 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
 
 
+def _secret(kind: str, m: re.Match, group: int) -> str:
+    """What is hashed of a match: of a private key its body without white space, or else the value."""
+    if kind == "pem":
+        body = _WHITE.sub("", m["whole"] or m["cut"] or "")
+        if body:
+            return body
+    return m.group(group)
+
+
 def candidates(text: str | None) -> list[tuple]:
     """All matches in one text, by start and then kind; ends are exclusive code points."""
     if not text:
@@ -71,7 +93,7 @@ def candidates(text: str | None) -> list[tuple]:
         for m in pattern.finditer(text):
             a, b = m.span(group)
             if b - a >= least:
-                value = text[a:b]
+                value = _secret(kind, m, group)
                 out.append((m.start(), order, kind, m.end(), a, b,
                             xxhash.xxh64_intdigest(value.encode()) - 2**63, entropy(value) >= LEAST_ENTROPY))
     out.sort()
