@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from commentlake.llm.common import mix, staged, word_bounds
 from commentlake.llm.components import connected
+from commentlake.llm.exact_dedup import located
 
 SHINGLE, SEED, REACH = 3, 42, 3
 #: 64 bits in five blocks: within three differing bits two blocks are untouched.
@@ -67,7 +68,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t.as_py()) for t in batch.column(1)], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]],
+            ["doc_id", "print", *batch.schema.names[2:]],
+        )
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -214,34 +218,61 @@ def links(reps: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_link_batches, "a long, b long")
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """(node, component) of the fingerprints that have close ones; a component is named by one of them."""
+    nodes = staged(prints.select("print").distinct(), "simhash-nodes")
+    return staged(connected(links(nodes.select(F.col("print").alias("rep"), "print"))), "simhash-components")
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, print, component_id.
 
-    Null and empty texts have the fingerprint 0 and link like any other. Of a
-    repeated id each row is returned. Rows with a null id form no group of their
-    own accord: a component is named by its smallest id, and is null only where
-    it has none. An empty table gives an empty one.
+    Null and empty texts have the fingerprint 0 and link like any other. What
+    links are fingerprints, so that texts which share an id stay apart, and those
+    without an id link like others. A component is named by its smallest id,
+    and by null only where it has none. An empty table gives an empty one.
     """
     prints = staged(fingerprints(docs, doc_id, text), "simhash-prints")
-    # A fingerprint whose rows all lack an id stands for itself below all ids.
-    reps = staged(
-        prints.groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "simhash-reps"
-    )
-    numbered = reps.where("rep IS NOT NULL")
-    found = staged(connected(links(numbered)), "simhash-components")
-    named = numbered.join(found, numbered["rep"] == found["node"], "left").select(
-        "print", F.coalesce("component", "rep").alias("component_id")
+    reps = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    found = _roots(prints)
+    rooted = staged(
+        reps.join(found, reps["print"] == found["node"], "left").select("print", "rep", "component"), "simhash-reps"
     )
+    names = rooted.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    named = rooted.join(names, "component", "left").select("print", F.coalesce("least", "rep").alias("component_id"))
     return prints.join(named, "print", "left").select("doc_id", "print", "component_id")
 
 
+def survivors(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of located ``docs`` one row per root, with the columns it had, by (root, doc_id, file, at) of all rows.
+
+    The row with the smallest id stays, one without an id only if no other has
+    one, and of equal ids the first in the files.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "at")
+    several = rooted.groupBy("root").agg(F.min(order).alias("stays"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = rooted.join(several, "root").where("file != stays.file OR at != stays.at").select(
+        F.col("file").alias("_file"), F.col("at").alias("_at")
+    )
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"),
+    )
+    return rows.join(gone, ["_file", "_at"], "left_anti").select("row.*")
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest id of each group, with the columns it had.
+    """One row of each group, the one with the smallest id, with the columns it had.
 
-    Rows without an id stay. Rows that repeat an id stand or fall together.
+    Rows are told apart by their place, whatever ids they repeat or lack.
     """
-    gone = grouped(docs, doc_id, text).where("component_id != doc_id").select(
-        F.col("doc_id").alias("_gone")
-    ).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("_id"))
-    return rows.join(gone, rows["_id"] == gone["_gone"], "left_anti").select("row.*")
+    docs = located(docs)
+    rows = docs.select(
+        F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+    )
+    prints = staged(rows.mapInArrow(_print_batches, "doc_id long, print long, file string, at long"), "simhash-prints")
+    found = _roots(prints)
+    return survivors(docs, prints.join(found, prints["print"] == found["node"], "left").select(
+        F.coalesce("component", "print").alias("root"), "doc_id", "file", "at"
+    ))

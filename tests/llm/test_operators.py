@@ -217,6 +217,17 @@ def test_simhash_matches_all_pairs(docs):
     assert kept.columns == docs.columns and set(group.values()) == {r[0] for r in rows_of(kept, "doc_id") if r[0] is not None}
 
 
+def test_near_dedup_tells_rows_apart_not_ids(spark):
+    rng = random.Random(3)
+    x, y, z = (" ".join(rng.choices(VOCABULARY[13:], k=60)) for _ in range(3))
+    rows = [(1, y, "a"), (5, x, "b"), (5, y + "\n", "c"), (9, x + " ", "d"), (None, z, "e"), (None, z + " ", "f"), (None, x, "g"), (7, x, "h"), (7, y, "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    kept = sorted(r["name"] for r in simhash.keep_one(df).collect())
+    assert len(kept) == 3 and kept[:2] == ["a", "b"] and kept[2] in "ef"
+    got = {(r["print"], r["component_id"]) for r in simhash.grouped(df).collect()}
+    assert len(got) == 3 and {c for _, c in got} == {1, 5, None}
+
+
 @pytest.mark.parametrize("key_rows", [1, 3, 40])
 def test_large_keys_lose_no_link(spark, monkeypatch, key_rows):
     rng = random.Random(key_rows)
