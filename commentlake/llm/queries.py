@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentlake.llm import exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, token_files, warc, weak_labels
+from commentlake.llm import (
+    curriculum, exact_dedup, packing, piece_sampling, prefix_trie, quality_rules, secret_scan, simhash, substring_dedup, token_files,
+    warc, weak_labels, whitening,
+)
 from commentlake.llm.common import table
 
 
@@ -68,7 +71,24 @@ def op10_weak_labels(spark: SparkSession, d: str) -> DataFrame:
     return weak_labels.judged(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_piece_sampling, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op7_substring_dedup, op8_secret_scan, op9_simhash, op10_weak_labels)}
+def op11_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    numbered = prefix_trie.turns(table(spark, d, "conversations"))
+    return prefix_trie.trie(prefix_trie.rebuilt(numbered)).drop("path")
+
+
+def op12_curriculum(spark: SparkSession, d: str) -> DataFrame:
+    at = curriculum.mixed(table(spark, d, "documents"))
+    return at.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_whitening(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(table(spark, d, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_piece_sampling, op3_quality_rules, op4_token_files, op5_packing, op6_exact_dedup, op7_substring_dedup,
+    op8_secret_scan, op9_simhash, op10_weak_labels, op11_prefix_trie, op12_curriculum, op13_whitening,
+)}
 
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)
 _SPACE = r"[\x20\x09-\x0D]"
@@ -120,4 +140,69 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 WINDOW g AS (PARTITION BY t)"""
 
-ORACLES = {"op1_warc": _OP1, "op3_quality_rules": _OP3, "op6_exact_dedup": _OP6}
+# DuckDB has no CRC-32: each character goes in, then eight shifts (-1) follow.
+_OP11 = r"""
+WITH RECURSIVE numbered AS (
+  SELECT conv_id, role AS r, text AS t, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(role))::VARCHAR || ':' || role || text)) AS i
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+heads AS (
+  SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(conv_id::VARCHAR, '')]),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384::BIGINT) END), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM numbered)),
+lines AS (
+  SELECT heads.conv_id, i, r, t, words FROM heads JOIN numbered n ON n.conv_id = heads.conv_id - ((heads.conv_id % 20) + 20) % 20 AND i <= h
+  UNION ALL SELECT heads.conv_id, i, r, t, words FROM heads JOIN numbered n ON n.conv_id = heads.conv_id AND i > h),
+placed AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS depth, words,
+    octet_length(encode(r))::VARCHAR || ':' || octet_length(encode(t))::VARCHAR || ':' || r || t AS turn FROM lines),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS path, '' AS parent, 0::BIGINT AS words FROM heads
+  UNION ALL SELECT p.conv_id, p.depth, sha256(paths.path || p.turn), paths.path, p.words
+  FROM paths JOIN placed p ON p.conv_id = paths.conv_id AND p.depth = paths.depth + 1),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+first AS (
+  SELECT paths.*, n, min(paths.conv_id) OVER (PARTITION BY path) AS node, n > paths.depth AS goes_on FROM paths JOIN lengths USING (conv_id)),
+own AS (
+  SELECT *, conv_id = node AS owner, max(goes_on) OVER (PARTITION BY path) AS grows FROM first),
+up AS (
+  SELECT *, sum(CASE WHEN owner THEN 0 ELSE words END) OVER w AS saved,
+    sum(CASE WHEN owner AND NOT grows THEN 1 ELSE 0 END) OVER w AS leaves,
+    coalesce(lead(owner) OVER (PARTITION BY conv_id ORDER BY depth), false) AS new_child,
+    lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS above
+  FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(above) AS parent_conv_id, count(*) AS n_convs,
+  sum(new_child::INT)::BIGINT AS n_children, sum(leaves)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens,
+  sha256(coalesce(string_agg(CASE WHEN n = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+FROM up GROUP BY path"""
+
+_OP12 = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, sha256(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM docs GROUP BY source),
+weighed AS (SELECT *, [3, 1, 2][1 + place % 3]::BIGINT AS weight FROM sources),
+-- A level of words per weight: the largest prefix by room per weight is cut.
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source_size / weight, place) AS k FROM weighed),
+cuts AS (
+  SELECT c.n, (3 * (SELECT sum(source_size) FROM weighed) - 4 * coalesce(sum(source_size) FILTER (k <= c.n), 0))::BIGINT AS rest,
+    coalesce(sum(weight) FILTER (k > c.n), 0)::BIGINT AS free
+  FROM ranked, (SELECT unnest(range(0, (SELECT count(*) + 1 FROM ranked))) AS n) c GROUP BY c.n),
+level AS (
+  SELECT * FROM cuts WHERE NOT EXISTS (
+    SELECT * FROM ranked WHERE k > cuts.n AND rest::HUGEINT * weight >= 4::HUGEINT * source_size * free) ORDER BY n LIMIT 1),
+goals AS (
+  SELECT source, source_size, CASE WHEN k <= n THEN 2.0::DOUBLE * source_size ELSE (weight * rest)::DOUBLE / (2 * free)::DOUBLE END AS target
+  FROM ranked, level),
+drawn AS (
+  SELECT *, substr(sha256('42:' || coalesce(doc_id::VARCHAR, '') || ':' || digest), 1, 16) AS draw FROM docs),
+placed AS (
+  SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS words, coalesce(sum(size) OVER (
+    PARTITION BY goals.source ORDER BY draw, doc_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+  FROM drawn JOIN goals ON drawn.source IS NOT DISTINCT FROM goals.source)
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+  (greatest(0, least(size, words - before)) + greatest(0, least(size, words - before - source_size)))::BIGINT AS taken
+FROM placed"""
+
+ORACLES = {"op1_warc": _OP1, "op3_quality_rules": _OP3, "op6_exact_dedup": _OP6, "op11_prefix_trie": _OP11, "op12_curriculum": _OP12}
