@@ -28,6 +28,9 @@ from commentlake.llm.common import mix
 SEED, SHARPNESS = 42, 1.5
 #: Lattice nodes held per worker; beyond it the memory starts anew.
 HELD_NODES = 2_500_000
+#: Bits of a share: whole numbers, the same whatever else a worker holds.
+SHARE_BITS = 53
+_WHOLE = 1 << SHARE_BITS
 #: Longest unit that is filtered together with others.
 BLOCK_CHARS = 48
 _UNITS = re.compile(r" *[^ \n]+| +|\n").findall
@@ -96,7 +99,7 @@ class Lattice:
         self._power[1:] = np.multiply.accumulate(np.full(BLOCK_CHARS, _BASE, dtype=np.uint64))
         size = 1 << 19
         self._mask = np.uint64(size - 1)
-        self._slot_hash, self._slot = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int64)
+        self._slot_hash, self._slot = np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
         self._weight, self._piece_id = np.zeros(len(self.piece)), np.zeros(len(self.piece), dtype=np.int32)
         self._probes = 1
         for k, (p, (i, w)) in enumerate(self.piece.items()):
@@ -119,24 +122,31 @@ class Lattice:
 
     def _lookup(self, h: np.ndarray) -> np.ndarray:
         """The piece's number for each hash, -1 for none."""
-        at = mix(h) & self._mask
-        found = np.where(self._slot_hash[at] == h, self._slot[at], -1)
+        flat = h.ravel()
+        at = mix(flat) & self._mask
+        found = self._slot[at]
+        open_ = np.flatnonzero(found >= 0)  # most slots are empty, which settles it
+        open_ = open_[self._slot_hash[at[open_]] != flat[open_]]
         for _ in range(self._probes - 1):
-            at = (at + np.uint64(1)) & self._mask
-            found = np.where((found < 0) & (self._slot_hash[at] == h), self._slot[at], found)
-        return found
+            at[open_] = (at[open_] + np.uint64(1)) & self._mask
+            found[open_] = self._slot[at[open_]]
+            open_ = open_[found[open_] >= 0]
+            open_ = open_[self._slot_hash[at[open_]] != flat[open_]]
+        found[open_] = -1
+        return found.reshape(h.shape)
 
     def clear(self) -> None:
         self.unit: dict[str, int] = {}
         self._first, self._last = _Column("i8"), _Column("i8")  # of a unit: its first node and its last
-        self._key = _Column("f8")  # of an edge: its node plus the probability up to it
-        self._id, self._from = _Column("i4"), _Column("i8")  # its piece, and its node of origin or -1
+        self._edge = _Column("i8")  # of a node: its first edge
+        self._share = _Column("i8")  # of an edge: the share of its node's up to its own
+        self._id, self._from = _Column("i4"), _Column("i4")  # its piece, and its node of origin or -1
         self._nodes = 0
 
     def _learn(self, units: set[str]) -> None:
         by_size: dict[int, list[str]] = {}
         for u in sorted(units):
-            if len(u) <= BLOCK_CHARS and not any(len(c.encode()) > 1 and c not in self.piece for c in set(u)):
+            if len(u) <= BLOCK_CHARS and (u.isascii() or not self._spelled_out(u)):
                 by_size.setdefault(len(u), []).append(u)
             else:
                 self._filter(u)
@@ -145,6 +155,10 @@ class Lattice:
             for at in range(0, len(same), step):
                 self._filter_block(same[at : at + step], size)
 
+    def _spelled_out(self, unit: str) -> bool:
+        """Whether it has a character of several bytes and no piece."""
+        return any(c not in self.piece for c in unit if c > "\x7f")
+
     def _filter_block(self, units: list[str], size: int) -> None:
         """Forward-filter units of one length together."""
         m = len(units)
@@ -152,7 +166,7 @@ class Lattice:
         sums = self._sums(chars)
         alpha = np.zeros((m, size + 1))
         base = self._nodes + size * np.arange(m)
-        keys, ids, origins = [], [], []
+        nodes, shares, ids, origins = [], [], [], []
         for e in range(1, size + 1):
             s = np.arange(max(0, e - self.longest), e)
             found = self._lookup(sums[:, e : e + 1] - sums[:, s] * self._power[e - s][None, :])
@@ -167,12 +181,15 @@ class Lattice:
             alpha[:, e] = top[:, 0] + np.log(run[:, -1])
             run /= run[:, -1:]
             row, col = np.nonzero(value > -np.inf)
-            keys.append((base[row] + e - 1) + run[row, col])
+            nodes.append(base[row] + e - 1)
+            shares.append(np.rint(run[row, col] * _WHOLE).astype(np.int64))
             ids.append(piece[row, col])
             origins.append(np.where(s[col] > 0, base[row] + s[col] - 1, -1))
-        key = np.concatenate(keys)
-        order = np.argsort(key, kind="stable")
-        self._key.extend(key[order])
+        node = np.concatenate(nodes) - self._nodes
+        order = np.argsort(node, kind="stable")
+        degree = np.bincount(node, minlength=m * size)
+        self._edge.extend(self._share.n + np.cumsum(degree) - degree)
+        self._share.extend(np.concatenate(shares)[order])
         self._id.extend(np.concatenate(ids)[order])
         self._from.extend(np.concatenate(origins)[order])
         self.unit.update(zip(units, range(self._last.n, self._last.n + m), strict=True))
@@ -187,7 +204,8 @@ class Lattice:
     def _filter(self, unit: str) -> None:
         """Forward-filter one unit; nodes are ends of pieces, of bytes where no piece fits."""
         piece, longest = self.piece, self.longest
-        key, ids, origin = [], [], []
+        opens, share, ids, origin = [], [], [], []
+        begun = self._share.n
         first = node = self._nodes
         size = len(unit)
         alpha = [0.0] + [-math.inf] * size
@@ -201,25 +219,28 @@ class Lattice:
                 raw = unit[e - 1].encode("utf-8")
                 before = at[e - 1]
                 for b in raw[:-1]:
-                    key.append(node + 1.0)
+                    opens.append(begun + len(share))
+                    share.append(_WHOLE)
                     ids.append(self.byte[b])
                     origin.append(before)
                     before, node = node, node + 1
                 edges.append((alpha[e - 1] + self.least * len(raw), self.byte[raw[-1]], before))
             top = max(x[0] for x in edges)
-            shares = [math.exp(x[0] - top) for x in edges]
-            total = math.fsum(shares)
+            parts = [math.exp(x[0] - top) for x in edges]
+            total = math.fsum(parts)
             alpha[e], at[e] = top + math.log(total), node
             run = 0.0
-            for share, (_, i, before) in zip(shares, edges, strict=True):
-                run += share / total
-                key.append(node + run)
+            opens.append(begun + len(share))
+            for part, (_, i, before) in zip(parts, edges, strict=True):
+                run += part / total
+                share.append(round(run * _WHOLE))
                 ids.append(i)
                 origin.append(before)
-            key[-1] = node + 1.0
+            share[-1] = _WHOLE
             node += 1
         self.unit[unit] = self._last.n
-        self._key.extend(key)
+        self._edge.extend(opens)
+        self._share.extend(share)
         self._id.extend(ids)
         self._from.extend(origin)
         self._first.extend([first])
@@ -247,7 +268,7 @@ class Lattice:
         opens = np.cumsum(counts) - counts
         begin = np.cumsum(sizes) - sizes
         starts = begin - np.repeat(begin[np.minimum(opens, len(begin) - 1)], counts)
-        key, ids, origin = self._key.array, self._id.array, self._from.array
+        first_edge, share, ids, origin = self._edge.array, self._share.array, self._id.array, self._from.array
         seeds = np.repeat(mix(mix(keys.astype(np.int64).view(np.uint64)) ^ np.uint64(SEED)), counts)
         # A place is four times a character's, room for its bytes.
         place = seeds + starts.astype(np.uint64) * np.uint64(4) * _GOLDEN
@@ -256,12 +277,13 @@ class Lattice:
         steps: list[tuple[np.ndarray, np.ndarray]] = []
         taken = np.zeros(len(unit), dtype=np.int64)
         while len(live):
-            draw = (mix(place[live] + (node - base[live]).astype(np.uint64) * _GOLDEN) >> np.uint64(11)) * 2.0**-53
-            # Node and share in one number keep 2 ** -30 of the share; a draw that
-            # rounds up to the next node is taken back to the last edge of its own.
-            edge = np.searchsorted(key, node + draw, side="right")
-            over = key[np.maximum(edge - 1, 0)] >= node + 1.0
-            edge = edge - (over & (edge > 0))
+            draw = (mix(place[live] + (node - base[live]).astype(np.uint64) * _GOLDEN) >> np.uint64(64 - SHARE_BITS)).view(np.int64)
+            edge = first_edge[node]
+            # Longer pieces stand first and are the likelier ones; a node's last share is above every draw.
+            on = np.flatnonzero(share[edge] <= draw)
+            while len(on):
+                edge[on] += 1
+                on = on[share[edge[on]] <= draw[on]]
             steps.append((live, ids[edge]))
             taken[live] += 1
             node = origin[edge]
