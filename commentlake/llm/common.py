@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,6 @@ def space_table() -> np.ndarray:
 
 _SPACE = space_table()
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +66,46 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word from one running sum over the bytes.
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word: its eight-byte parts go through the finaliser one after another.
 
     Equal words always have equal hashes; operators that need more than that
-    compare the words themselves afterwards.
+    compare the words themselves afterwards, or take a second seed.
     """
     if lower:
         data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    n = len(data)
-    power = np.full(n + 1, _MULTIPLIER, dtype=np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * power[:n], out=total[1:])
-    back = np.full(n + 1, _INVERSE, dtype=np.uint64)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    size = (end - start).astype(np.int64)
+    h = mix((size + (seed << 40)).astype(np.uint64) * _MULTIPLIER + _MULTIPLIER)
+    live = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix(h[live] * _MULTIPLIER ^ (eight[start[live] + at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]].tobytes(), seed)
+    return h
+
+
+def same_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word equals the word at index ``like``, byte by byte."""
+    size = end - start
+    if (size != size[like]).any():
+        return False
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    live = np.flatnonzero(like != np.arange(len(like)))
+    at = 0
+    while len(live):
+        left = size[live] - at
+        mask = _FIRST_BYTES[np.minimum(left, 8)]
+        if ((eight[start[live] + at] ^ eight[start[like[live]] + at]) & mask).any():
+            return False
+        at += 8
+        live = live[left > 8]
+    return True

@@ -6,8 +6,10 @@ than one text. Surroundings with one anchor meet in one shard. There an FM-index
 is built over them, and each is streamed through it: backward search gives its
 matching statistics, and every window that begins in a smaller document is
 reported as an interval. Copies of a whole text are one text until the end.
-The surroundings of one anchor stay together, so anchors of very many texts take
-an exact way without a shard: a partial minimum over their hashed windows.
+The surroundings of one anchor stay together, so anchors of very many places take
+an exact way without a shard: a partial minimum over their hashed windows. Words
+are numbered by hash and compared within a shard; texts, segments and windows that
+meet across tasks are known by 128 bits.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commentlake.llm.common import mix, staged, word_bounds, word_hashes
+from commentlake.llm.common import mix, same_words, staged, word_bounds, word_hashes
 from commentlake.llm.fm_index import FMIndex
 
 WINDOW, GRAM = 50, 8
 #: Words of one index at most; an anchor with more is worked off in pairs of such blocks.
-SHARD_WORDS = 1_200_000
-#: An anchor in more texts than this is not gathered: its windows are grouped one by one.
-HOT_TEXTS = 100_000
+SHARD_WORDS = 800_000
+#: An anchor that occurs more often than this, a dozen blocks' worth, is not gathered: its windows are grouped one by one.
+HOT_PLACES = 100_000
 #: Segments streamed through an index at a time.
 STREAM = 8192
 _WORDS = re.compile(r"[^ \t-\r]+").findall
@@ -108,7 +110,7 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows = [(*_keys(s), body, a) for s, a in _segments(text, places)]
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(),) * 3 + (pa.int32(),), strict=True)],
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)],
                     ["k1", "k2", "body", "first"],
                 )
 
@@ -116,16 +118,16 @@ def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _windows(text: str, hot: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, hashes, other hashes) of the windows that hold the anchors at ``hot``."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    h = word_hashes(data, *word_bounds(data))
+    h, other = word_hashes(data, *word_bounds(data)), word_hashes(data, *word_bounds(data), seed=1)
     around = (np.array(hot, dtype=np.int64)[:, None] - np.arange(WINDOW - GRAM + 1)).ravel()
     at = np.unique(around[(around >= 0) & (around <= len(h) - WINDOW)])
     w1, w2 = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
     for j in range(WINDOW):
-        w1, w2 = w1 * _STEP + h[at + j], w2 * _STEP_2 + mix(h[at + j])
-    return at, mix(w1).view(np.int64), mix(w2).view(np.int64)
+        w1, w2 = mix(w1 * _STEP + h[at + j]), mix(w2 * _STEP_2 + other[at + j])
+    return at, w1.view(np.int64), w2.view(np.int64)
 
 
-WINDOWS = "w1 long, w2 long, body long, first int, own long"
+WINDOWS = "w1 long, w2 long, body binary, first int, own long"
 
 
 def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def _window_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for body, own, text, hot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             at, w1, w2 = _windows(text, hot)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), body)), pa.array(at.astype(np.int32)),
+                [pa.array(w1), pa.array(w2), pa.array([body] * len(at), pa.binary()), pa.array(at.astype(np.int32)),
                  pa.array(np.full(len(at), own))], ["w1", "w2", "body", "first", "own"],
             )
 
@@ -142,13 +144,21 @@ RUNS = "k1 long, k2 long, runs array<struct<at: int, n: int, doc: long>>"
 _RUN = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32()), ("doc", pa.int64())]))
 
 
-def _indexed(segments: list[str], docs: np.ndarray) -> np.ndarray:
-    """Smallest document of every window of every segment, from one index over all of them."""
+def _numbered(segments: list[str]) -> np.ndarray:
+    """A number for each word, the same for equal words only."""
     data = np.frombuffer("\n".join(segments).encode(), dtype=np.uint8)
     start, end = word_bounds(data)
+    _, first, word = np.unique(word_hashes(data, start, end), return_index=True, return_inverse=True)
+    if same_words(data, start, end, first[word]):
+        return word
+    known: dict[str, int] = {}  # two words of one hash
+    return np.array([known.setdefault(w, len(known)) for s in segments for w in s.split(" ")])
+
+
+def _indexed(segments: list[str], docs: np.ndarray) -> np.ndarray:
+    """Smallest document of every window of every segment, from one index over all of them."""
     sizes = np.array([s.count(" ") + 1 for s in segments])
-    _, word = np.unique(word_hashes(data, start, end), return_inverse=True)
-    word = word + 2  # 0 ends the text, 1 ends a segment
+    word = _numbered(segments) + 2  # 0 ends the text, 1 ends a segment
     owner_of_word = np.repeat(np.arange(len(segments)), sizes)
     place = np.arange(len(word)) + owner_of_word
     text = np.ones(len(word) + len(segments) + 1, dtype=np.int64)
@@ -272,25 +282,26 @@ def _finish_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-PREPARED = ("doc_id long, body long, text string, least long, places array<int>, hashes array<long>, "
+PREPARED = ("doc_id long, body binary, text string, least long, places array<int>, hashes array<long>, "
             "hot array<int>, n_words long, n_removed long, kept_sha256 string")
 
 
 def shared_anchors(heads: DataFrame) -> DataFrame:
-    """(body, places, hashes, hot): the anchors that occur in two texts or more.
+    """(body, places, hashes, hot): the anchors that occur under two documents or more.
 
-    ``hot`` holds the places of those in more than ``HOT_TEXTS`` texts, the other
-    two the rest. Counted by partial sums; a hash that a third of all texts hold is
-    a row per task there, and the join that follows can be split.
+    ``hot`` holds the places of those that occur more than ``HOT_PLACES`` times, the
+    other two the rest. Counted by partial sums; a hash that a third of all texts hold
+    is a row per task there, and the join that follows can be split.
     """
-    each = heads.select("body", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(
-        "body", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place")
+    each = heads.select("body", "least", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select(
+        "body", "least", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place")
     )
-    texts = heads.select(F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
-    common = texts.where("n > 1").select("hash", (F.col("n") > HOT_TEXTS).alias("hot"))
+    # Texts that one document holds take nothing from each other, so documents tell them apart.
+    known = each.groupBy("hash").agg(F.min("least").alias("a"), F.max("least").alias("b"), F.count(F.lit(1)).alias("n"))
+    common = known.where("a < b").select("hash", (F.col("n") > HOT_PLACES).alias("hot"))
     z = F.col("z")
     cold = F.filter(z, lambda x: ~x["hot"])
-    return each.join(common, "hash").groupBy("body").agg(
+    return each.drop("least").join(common, "hash").groupBy("body").agg(
         F.array_sort(F.collect_list(F.struct("place", "hash", "hot"))).alias("z")
     ).select(
         "body", cold["place"].alias("places"), cold["hash"].alias("hashes"), F.filter(z, lambda x: x["hot"])["place"].alias("hot")
@@ -306,7 +317,7 @@ def intervals(prepared: DataFrame) -> DataFrame:
     runs = staged(
         segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search_batches, RUNS), "passages"
     )
-    places = heads.select("body", "text", "places").mapInArrow(_place_batches, "k1 long, k2 long, body long, first int")
+    places = heads.select("body", "text", "places").mapInArrow(_place_batches, "k1 long, k2 long, body binary, first int")
     run = F.struct((F.col("first") + F.col("r.at")).alias("first"), F.col("r.n").alias("n"), F.col("r.doc").alias("doc"))
     found = places.join(runs, ["k1", "k2"]).select("body", "first", F.explode("runs").alias("r")).select(
         "body", run.alias("run")
@@ -333,8 +344,9 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     ids hold too. An empty table gives an empty one.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("body"), t.alias("text"))
-    marked = rows.mapInArrow(_anchor_batches, "doc_id long, body long, hashes array<long>, places array<int>")
+    body = F.substring(F.unhex(F.sha2(F.encode(t, "UTF-8"), 256)), 1, 16)
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("body"), t.alias("text"))
+    marked = rows.mapInArrow(_anchor_batches, "doc_id long, body binary, hashes array<long>, places array<int>")
     marked = staged(marked.where("doc_id IS NOT NULL AND size(hashes) > 0"), "anchors")
     heads = staged(
         marked.groupBy("body").agg(
