@@ -2,8 +2,8 @@
 
 Spans come from the text alone; what they are worth comes from the corpus. Every
 candidate value is hashed, and its hash is counted over distinct repositories and
-distinct owners. A value that many owners hold is an example that was copied
-around; one that a single owner holds and that looks random is taken for live.
+distinct owners. A value that many owners hold in many repositories is an example
+that was copied around; any other that looks random is taken for live.
 Values themselves leave their document as hashes only.
 """
 
@@ -45,15 +45,17 @@ _WHITE = re.compile(r"\s|\\[nrt]")
 #: Further credentials of public, self-describing formats.
 MORE_KINDS = (
     ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]+"), 0, 40),
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 40),
+    # From the first eyJ of a run of letters: where that fails no later one of the run can match.
+    ("jwt", re.compile(
+        r"(?<![A-Za-z0-9_-])(?:(?!eyJ)[A-Za-z0-9_-])*+(eyJ[A-Za-z0-9_-]++\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)"), 1, 40),
     ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]+"), 0, 20),
     ("pem", re.compile(PEM), 0, 27),
 )
 BASE = tuple(k[0] for k in KINDS)
 #: What the corpus says about a value, appended as a span over the value.
 LIVE, EXAMPLE = "live", "example"
-#: Held by so many owners, a value is an example.
-COPIED_OWNERS = 3
+#: Held by so many owners and in so many repositories, a value is an example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 3
 #: Bits a character below which a value does not look random.
 LEAST_ENTROPY = 2.5
 
@@ -94,7 +96,7 @@ def candidates(text: str | None) -> list[tuple]:
             a, b = m.span(group)
             if b - a >= least:
                 value = _secret(kind, m, group)
-                out.append((m.start(), order, kind, m.end(), a, b,
+                out.append((a if kind == "jwt" else m.start(), order, kind, m.end(), a, b,
                             xxhash.xxh64_intdigest(value.encode()) - 2**63, entropy(value) >= LEAST_ENTROPY))
     out.sort()
     return [(kind, s, e, a, b, h, r) for s, _, kind, e, a, b, h, r in out]
@@ -135,20 +137,22 @@ def scan(docs: DataFrame, text: str = "text", owner: str = "source", repository:
     return staged(found.select(F.monotonically_increasing_id().alias("row"), "*"), "secrets")
 
 
-def ownership(scanned: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def ownership(scanned: DataFrame, copied_owners: int = COPIED_OWNERS,
+              copied_repositories: int = COPIED_REPOSITORIES) -> DataFrame:
     """(value, owners, repositories, verdict) of every candidate value of the corpus.
 
-    Counted in two steps, first to distinct (value, owner, repository): a value
-    that a third of all rows hold reaches no task more than once per place.
+    Distinct (value, owner, repository) come first, so a value that a third of all
+    rows hold reaches no task more than once per place; the distinct counts over those
+    are partial sums again.
     """
     places = scanned.select(F.explode("found").alias("c"), "owner", "repository").select(
         F.col("c.value").alias("value"), F.col("c.random").alias("random"), "owner", "repository"
     ).distinct()
-    owned = places.groupBy("value", "random", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    counts = owned.groupBy("value", "random").agg(
-        F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories")
+    counts = places.groupBy("value", "random").agg(
+        F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories")
     )
-    verdict = F.when(F.col("owners") >= copied_owners, F.lit(EXAMPLE)).when(F.col("random"), F.lit(LIVE))
+    copied = (F.col("owners") >= copied_owners) & (F.col("repositories") >= copied_repositories)
+    verdict = F.when(copied, F.lit(EXAMPLE)).when(F.col("random"), F.lit(LIVE))
     return counts.select("value", "owners", "repositories", verdict.alias("verdict"))
 
 
@@ -191,24 +195,21 @@ def listed(spans: Column, base_only: bool) -> Column:
     return F.array_join(F.transform(everything, lambda x: x["s"]), ",")
 
 
-def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """The text with every value masked that is not a copied example.
+def masked(text: str, spans: list[tuple[int, int]], mask: str = "[secret]") -> str:
+    """The text with its spans (code points, end exclusive) masked; overlapping ones are one."""
+    out, at = [], 0
+    for a, b in sorted(spans):
+        if a >= at:
+            out += (text[at:a], mask)
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
-    Overlapping values are one. Offsets are code points, as Spark counts them.
-    """
-    hits = F.array_sort(F.transform(
-        F.filter(spans, lambda x: F.coalesce(x["verdict"], F.lit("")) != EXAMPLE),
-        lambda x: F.struct(x["c"]["value_start"].alias("a"), x["c"]["value_end"].alias("b")),
-    ))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, x):
-        fresh = x["a"] >= acc["at"]
-        upto = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["a"] - acc["at"]), F.lit(mask)))
-        return F.struct(upto.otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], x["b"]).alias("at"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(hits) > 0, F.aggregate(hits, start, step, rest)).otherwise(text)
+def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, spans = (batch.column(c).to_pylist() for c in ("text", "spans"))
+        new = [masked(t, [(x["a"], x["b"]) for x in s]) if s else t for t, s in zip(texts, spans, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("carried"), pa.array(new, pa.string())], ["carried", "new"])
 
 
 def redact(docs: DataFrame, text: str = "text", owner: str = "source", length: str | None = "n_chars") -> DataFrame:
@@ -221,10 +222,13 @@ def redact(docs: DataFrame, text: str = "text", owner: str = "source", length: s
     clean = scanned.where(F.size("found") == 0).select("carried.*")
     spoken = scanned.where(F.size("found") > 0).select("row", "carried", "found")
     verdicts = ownership(scanned).select("value", "verdict")
-    spans = spoken.select("row", F.explode("found").alias("c")).select("row", "c", F.col("c.value").alias("value")).join(
-        verdicts, "value", "left"
-    ).groupBy("row").agg(F.collect_list(F.struct("c", "verdict")).alias("spans"))
-    both = spoken.join(spans, "row").select("carried", redacted(F.col(f"carried.`{text}`"), F.col("spans")).alias("new"))
+    spans = spoken.select("row", F.explode("found").alias("c")).select(
+        "row", F.struct(F.col("c.value_start").alias("a"), F.col("c.value_end").alias("b")).alias("span"), F.col("c.value").alias("value")
+    ).join(verdicts, "value", "left").groupBy("row").agg(
+        F.collect_list(F.when(F.coalesce("verdict", F.lit("")) != EXAMPLE, F.col("span"))).alias("spans")
+    )
+    both = spoken.join(spans, "row").select("carried", F.col(f"carried.`{text}`").cast("string").alias("text"), "spans")
+    both = both.mapInArrow(_mask_batches, T.StructType([both.schema["carried"]]).add("new", T.StringType()))
     out = []
     for name in columns:
         old = F.col(f"carried.`{name}`")
