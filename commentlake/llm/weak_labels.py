@@ -185,9 +185,11 @@ def _scorer(w: np.ndarray, b: float):
 
 def _example(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [Measured(t.as_py()).features() for t in batch.column(1)]
+        measured = [Measured(t.as_py()) for t in batch.column(0)]
+        found = [m.features() for m in measured]
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
+            pa.array([_pattern(m.votes()) for m in measured], pa.int32()),
+            pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()),
             pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary()),
         ], ["pattern", "place", "value"])
 
@@ -197,7 +199,7 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample:
 
     A null or empty text scores 0 and is not kept. Repeated rows are judged alike;
     an empty table gives an empty one. The driver holds the counts of at most
-    3 ** labellers patterns and the features of ``sample`` documents.
+    3 ** labellers patterns and the features of ``sample`` documents, one row each.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -206,14 +208,15 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample:
     patterns = np.array([r["pattern"] for r in counted], dtype=np.int64)
     good, _, _ = estimate(patterns, np.array([r["count"] for r in counted], dtype=float))
     posterior = dict(zip(patterns.tolist(), good.tolist(), strict=True))
-    # A sample by hash is the same on every run; only its ids meet at the driver.
+    # A sample by hash is the same on every run; only its ids meet at the driver. Rows that
+    # repeat an id are one example, the one with the smallest hash of its text.
     order = F.xxhash64(F.lit("weak labels"), "doc_id")
-    ids = voted.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("pattern").alias("pattern"))
-    chosen = staged(ids.orderBy(order, "doc_id").limit(sample), "weak-sample")
+    chosen = staged(
+        voted.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(order, "doc_id").limit(sample), "weak-sample"
+    )
     words = rows.join(F.broadcast(chosen), "doc_id").where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")))
-    examples = words.select("pattern", "text").mapInArrow(
-        _example, "pattern int, place binary, value binary"
-    ).collect()
+    one = words.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    examples = one.select("text").mapInArrow(_example, "pattern int, place binary, value binary").collect()
     examples.sort(key=lambda r: (r["pattern"], r["place"], r["value"]))
     w, b = fit(
         [(np.frombuffer(r["place"], "<i4"), np.frombuffer(r["value"], "<f4")) for r in examples],
