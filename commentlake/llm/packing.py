@@ -26,6 +26,7 @@ SEQUENCE, END_ID = 4096, 1
 GROUP_PIECES, WASTE = 16_384, 32
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+COLUMNS = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, `group` int, bin int, offset long, gap long"
 
 
@@ -112,14 +113,16 @@ def _packer(size: int):
 def packed(cut: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset; gapless from 0 in every sequence.
 
-    Repeated rows are pieces of their own; an empty table gives an empty one. Each
-    round's result is stored, and a later round takes only what it packs anew.
+    Repeated rows are pieces of their own and are dealt apart, by the number they were
+    written under; an empty table gives an empty one. Each round's result is stored,
+    and a later round takes only what it packs anew.
     """
-    todo, done, number, before = staged(cut, "pack-pieces"), None, 0, None
+    numbered = lambda df, name: staged(df.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), name)
+    todo, done, number, before = numbered(cut, "pack-pieces"), None, 0, None
     while True:
         n = todo.count()
         groups = max(1, -(-n // group_pieces))
-        dealt = todo.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+        dealt = todo.withColumn("group", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(groups)).cast("int")).drop("row")
         placed = staged(dealt.groupBy("group").applyInArrow(_packer(size), PLACED), "pack-placed")
         last = groups == 1 or (before is not None and 2 * n > before)
         ready = placed if last else placed.where(F.col("gap") <= size // WASTE)
@@ -132,7 +135,7 @@ def packed(cut: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
         done = ready if done is None else done.unionByName(ready)
         if last:
             return done
-        todo = placed.where(F.col("gap") > size // WASTE).select("doc_id", "piece", "start", "length", "ids_crc32", "ids")
+        todo = numbered(placed.where(F.col("gap") > size // WASTE), "pack-again")
         number, before = number + 1, n
 
 
