@@ -45,8 +45,9 @@ def base32_sha1(payload: bytes) -> str:
 
 
 # ---- records ----------------------------------------------------------------
-def record_id(page_id: int | None, nth: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{nth}')}>"
+def record_id(page_id: int | None, digest: str, nth: int) -> str:
+    """The id of a page's record: its nth one with this payload."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}:{digest}:{nth}')}>"
 
 
 def _header(value: str) -> str:
@@ -61,7 +62,7 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, diges
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, nth)}", f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: {record_id(page_id, digest, nth)}", f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
@@ -70,7 +71,7 @@ def record(page_id: int | None, nth: int, url: str | None, payload: bytes, diges
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: {record_id(refers_to, 0)}",
+            f"WARC-Refers-To: {record_id(refers_to, digest, 0)}",  # a response is the first with its payload
         ]
         lines += [] if refers_to is None else [f"X-Refers-To-Page-Id: {refers_to}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -82,7 +83,7 @@ def _fields(head: bytes) -> dict[str, str]:
 
 
 def parse(raw: bytes) -> tuple:
-    """(page_id, payload_bytes, digest, type, refers_to, url, payload); digests are checked."""
+    """(page_id, payload_bytes, digest, type, refers_to, url, payload); digests and references are checked."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     at = _fields(head)
     block = rest[: int(at["content-length"])]
@@ -94,6 +95,8 @@ def parse(raw: bytes) -> tuple:
     page_id = int(at["x-page-id"]) if "x-page-id" in at else None
     if at["warc-type"] == "revisit":
         to = int(at["x-refers-to-page-id"]) if "x-refers-to-page-id" in at else None
+        if at["warc-refers-to"] != record_id(to, digest, 0):
+            raise ValueError(f"{at['warc-record-id']} refers to another payload")
         return page_id, size, digest, "revisit", to, at.get("warc-target-uri"), None
     if len(payload) != size or base32_sha1(payload) != digest:
         raise ValueError(f"payload digest of {at['warc-record-id']} does not match")
@@ -200,7 +203,7 @@ class _Roller:
 def _writer(folder: str, roll_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, refers = None, {}
-        page, seen, nth = object(), set(), 0
+        page, seen = object(), {}
         done = []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "page_id", "sha256", "kind", "url", "payload", "refers_to")),
@@ -213,16 +216,16 @@ def _writer(folder: str, roll_bytes: int):
                     roller = _Roller(folder, shard, roll_bytes)
                     page = object()
                 if page_id != page:
-                    page, seen, nth, refers = page_id, set(), 0, {}
+                    page, seen, refers = page_id, {}, {}
                 if kind == 0:
                     refers[sha] = to
                     continue
-                again = sha in seen and len(payload) >= LEAST_REVISIT
+                nth = seen.get(sha, 0)
+                again = nth > 0 and len(payload) >= LEAST_REVISIT
                 to = refers.get(sha, page_id if again else None)
                 revisit = again or sha in refers
-                seen.add(sha)
+                seen[sha] = nth + 1
                 roller.add(record(page_id, nth, url, payload, base32_sha1(payload), to, revisit))
-                nth += 1
         if roller is not None:
             roller.close()
             done += roller.done
