@@ -37,10 +37,19 @@ def sha256(value: Column) -> Column:
     return F.sha2(F.encode(value, "UTF-8"), 256)
 
 
+def file_of(docs: DataFrame) -> Column:
+    """The file a row of ``docs`` lies in, also beside a column of the user's that is called _metadata."""
+    return docs.metadataColumn("_metadata")["file_path"]
+
+
+def place_of(docs: DataFrame) -> Column:
+    return docs.metadataColumn("_metadata")["row_index"]
+
+
 def located(docs: DataFrame) -> DataFrame:
     """Rows whose place in a file is known; others are written out first."""
     try:
-        docs.select("_metadata.file_path", "_metadata.row_index")
+        docs.select(file_of(docs), place_of(docs)).schema  # noqa: B018  asks for the analysis
         return docs
     except AnalysisException:
         return staged(docs, "exact-rows")
@@ -51,8 +60,8 @@ def arrivals(docs: DataFrame, doc_id: str, text: str, digest: Callable[[Column],
     return docs.select(
         digest(normalised(text)).alias("digest"),
         F.col(doc_id).cast("long").alias("id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.row_index").alias("at"),
+        file_of(docs).alias("file"),
+        place_of(docs).alias("at"),
     )
 
 
@@ -100,7 +109,7 @@ def _places(df: DataFrame) -> DataFrame:
 def _hits(docs: DataFrame, slim: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The full bytes of rows whose digest came more than once, by their locators."""
     body = docs.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+        file_of(docs).alias("file"), place_of(docs).alias("at"),
         F.col(doc_id).cast("long").alias("id"), normalised(text).alias("body"),
     )
     return slim.where("group_size > 1").select("digest", "file", "at").join(body, ["file", "at"])
@@ -157,6 +166,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     gone = deduplicated(docs, doc_id, text).where("NOT kept")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"),
+        file_of(docs).alias("_file"), place_of(docs).alias("_at"),
     )
     return rows.join(_places(gone), ["_file", "_at"], "left_anti").select("row.*")

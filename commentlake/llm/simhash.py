@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from commentlake.llm.common import mix, staged, word_bounds
 from commentlake.llm.components import connected
-from commentlake.llm.exact_dedup import located
+from commentlake.llm.exact_dedup import file_of, located, place_of
 
 SHINGLE, SEED, REACH = 3, 42, 3
 #: 64 bits in five blocks: within three differing bits two blocks are untouched.
@@ -256,7 +256,7 @@ def survivors(docs: DataFrame, rooted: DataFrame) -> DataFrame:
     )
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"),
+        file_of(docs).alias("_file"), place_of(docs).alias("_at"),
     )
     return rows.join(gone, ["_file", "_at"], "left_anti").select("row.*")
 
@@ -269,7 +269,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     docs = located(docs)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+        file_of(docs).alias("file"), place_of(docs).alias("at"),
     )
     prints = staged(rows.mapInArrow(_print_batches, "doc_id long, print long, file string, at long"), "simhash-prints")
     found = _roots(prints)
