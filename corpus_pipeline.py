@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentlake.llm import exact_dedup, near_copies, packing, quality_rules, secret_scan
+from commentlake.llm import exact_dedup, packing, quality_rules, secret_scan, simhash
 from commentlake.session import work_dir
 
 
@@ -19,8 +19,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (similarity of five-word shingles 0.8 or more), the document with the smallest id."""
-    return near_copies.keep_one(docs)
+    """Of documents whose fingerprints link within three bits, directly or in steps, the one with the smallest id."""
+    return simhash.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
