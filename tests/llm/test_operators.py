@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from commentlake.llm import (
-    exact_dedup, near_copies, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, token_files, warc, weak_labels,
+    exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, token_files, warc, weak_labels,
 )
 from commentlake.llm.fm_index import FMIndex
 
@@ -132,10 +132,10 @@ def test_substring_dedup_matches_hashing_windows(docs):
     assert got == sorted(found, key=repr) and any(r[2] for r in got)
 
 
-def test_anchors_of_very_many_texts_give_the_same(docs, monkeypatch):
+def test_anchors_of_very_many_places_give_the_same(docs, monkeypatch):
     columns = ("doc_id", "n_words", "n_removed", "kept_sha256")
     whole = rows_of(substring_dedup.deduplicated(docs), *columns)
-    monkeypatch.setattr(substring_dedup, "HOT_TEXTS", 1)  # every shared anchor
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", 1)  # every shared anchor
     assert rows_of(substring_dedup.deduplicated(docs), *columns) == whole
 
 
@@ -222,62 +222,12 @@ def test_near_dedup_tells_rows_apart_not_ids(spark):
     x, y, z = (" ".join(rng.choices(VOCABULARY[13:], k=60)) for _ in range(3))
     rows = [(1, y, "a"), (5, x, "b"), (5, y + "\n", "c"), (9, x + " ", "d"), (None, z, "e"), (None, z + " ", "f"), (None, x, "g"), (7, x, "h"), (7, y, "i")]
     df = spark.createDataFrame(rows, "doc_id long, text string, name string")
-    for module in (simhash, near_copies):
-        kept = sorted(r["name"] for r in module.keep_one(df).collect())
-        assert len(kept) == 3 and kept[:2] == ["a", "b"] and kept[2] in "ef"
+    kept = sorted(r["name"] for r in simhash.keep_one(df).collect())
+    assert len(kept) == 3 and kept[:2] == ["a", "b"] and kept[2] in "ef"
     got = {(r["print"], r["component_id"]) for r in simhash.grouped(df).collect()}
     assert len(got) == 3 and {c for _, c in got} == {1, 5, None}
 
 
-def five_word_sets(texts):
-    words = [WORDS.findall(lower(t or "")) for t in texts]
-    return [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
-
-
-def edited(rng, words, edits):
-    words = list(words)
-    for at in rng.sample(range(len(words)), edits):
-        words[at] = f"new{rng.random()}"
-    return words
-
-
-@pytest.mark.parametrize(("rounds", "tile"), [(2, 10**6), (0, 10**6), (1, 2000)])
-def test_near_copies_match_all_pairs(spark, monkeypatch, rounds, tile):
-    import corpus_pipeline
-
-    rng = random.Random(tile)
-    texts = [None, "", "three words here", "Three words HERE", "four words are here", "x " * 200]
-    for base in range(8):
-        words = [f"b{base}x{rng.randrange(400)}" for _ in range(200)]
-        texts += [" ".join(edited(rng, words, rng.randrange(8))) for _ in range(9)]
-    sets = five_word_sets(texts)
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
-    monkeypatch.setattr(near_copies, "TILE", tile)
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    kept = corpus_pipeline.near(spark, df, "")
-    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
-    assert 8 + 4 < len(set(root)) < len(texts) - 30
-
-
-def test_pairs_of_similarity_080_meet():
-    rng = random.Random(8)
-    met = pairs = 0
-    while pairs < 400:
-        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        x, y = " ".join(words), " ".join(edited(rng, words, rng.randrange(3, 7)))
-        s, t = five_word_sets([x, y])
-        if 0.8 <= len(s & t) / len(s | t) < 0.88:
-            pairs += 1
-            met += (near_copies.keys(near_copies.shingles(x)) == near_copies.keys(near_copies.shingles(y))).any()
-    assert met == pairs
-
-
 @pytest.mark.parametrize("key_rows", [1, 3, 40])
 def test_large_keys_lose_no_link(spark, monkeypatch, key_rows):
     rng = random.Random(key_rows)
