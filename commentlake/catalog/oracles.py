@@ -411,7 +411,7 @@ SELECT path, array_to_string(list_filter(list_transform(ls, lambda l: regexp_rep
   ' * @param account - balance in cents of ', s_name, chr(10), ' */', chr(10),
   {_SUP_CODE.format(note="", tail=" // as is")}) AS after FROM sup""",
     "delete_docs": f"WITH {_SUP} SELECT path, {_SUP_CODE.format(note='', tail='')} AS after FROM sup",
-    "verify_unchanged": f"""SELECT {C._DOC_PATH} AS path, TRUE AS ok, FALSE AS lex_degraded, CAST(NULL AS STRING) AS first_difference FROM documents""",
+    "verify_unchanged": f"""SELECT {C._DOC_PATH} AS path, TRUE AS ok, CAST(NULL AS STRING) AS first_difference FROM documents""",
     "verify_tampered": f"""SELECT {_PART_PATH} AS path, FALSE AS ok, concat('code line 2: SELECT ', chr(39), 'a -- no', chr(39), ' AS s; -> SELECT ',
   chr(39), 'a -- no', chr(39), ' AS t;') AS first_difference FROM part""",
     "change_summary": f"""{_DELETED} SELECT path, count(*) FILTER (WHERE protected IS NULL) AS deleted, 0 AS shortened,

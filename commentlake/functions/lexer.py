@@ -3,7 +3,9 @@
 ``regexp_extract_all`` cuts a text into maximal runs of non-comment text and
 single comments, so the pieces always concatenate back to the input. Quantifiers
 over groups are possessive: Java runs those iteratively, which is what lets one
-string literal be hundreds of kilobytes long without a stack overflow.
+string literal be hundreds of kilobytes long without a stack overflow. Where a
+construct nests (templates, some block comments), its opener comes out alone and
+``nesting`` reads the file from there on.
 """
 
 from __future__ import annotations
@@ -25,17 +27,12 @@ from commentlake.functions.hof import (
     prefix,
     rlike,
     sub,
-    substr,
 )
+from commentlake.functions.nesting import AUTOMATA, JS_REGEX_BODY, REGEX_AFTER, REGEX_WORDS, resolved
 
 BLANK = r"[ \t\n\r\f\x0B]"
 AFTER_BLANK = r"(?<![^ \t\n\r\f\x0B])"
 
-# Nesting that the generated patterns follow; deeper files are flagged.
-BLOCK_DEPTH = 8
-TEMPLATE_DEPTH = 1
-BRACE_DEPTH = 3
-
 
 def _q(text: str) -> str:
     """Quote a literal for a Java pattern, also inside a character class."""
@@ -61,10 +58,7 @@ def _block_pattern(open_: str, close: str, nested: bool) -> str:
         return rf"{o}(?s:.*?)(?:{c}|\z)"
     o1, c1 = _q(open_[0]), _q(close[0])
     plain = rf"[^{o1}{c1}]++|{o1}(?!{_q(open_[1:])})|{c1}(?!{_q(close[1:])})"
-    out = rf"{o}(?:{plain})*+(?:{c}|\z)"
-    for _ in range(BLOCK_DEPTH - 1):
-        out = rf"{o}(?:{plain}|{out})*+(?:{c}|\z)"
-    return f"{out}|{o}"  # a bare opener marks nesting beyond the depth
+    return rf"{o}(?:{plain})*+(?:{c}|\z)|{o}"  # a bare opener marks a comment within
 
 
 def _openers(syn: Syntax) -> list[str]:
@@ -79,14 +73,7 @@ def _openers(syn: Syntax) -> list[str]:
 
 
 # ---- JavaScript ------------------------------------------------------------
-# Words and characters after which a slash opens a regex.
-REGEX_WORDS = (
-    "return", "typeof", "instanceof", "in", "of", "new", "delete", "void",
-    "throw", "case", "do", "else", "yield", "await", "if", "while",
-)
-REGEX_AFTER = "(,=:[!&|?{};+-*%~^<>"
-
-_JS_REGEX = r"/(?![/*])(?:[^/\\\[\n]|\\(?s:.)|\[(?:[^\]\\\n]|\\(?s:.))*+\])++/\p{L}*+"
+_JS_REGEX = rf"/(?![/*]){JS_REGEX_BODY}\p{{L}}*+"
 
 
 def _js_code(other: str, ops: str) -> list[str]:
@@ -102,27 +89,9 @@ def _js_code(other: str, ops: str) -> list[str]:
     ]
 
 
-@lru_cache(maxsize=None)
-def _js_braces(templates: int, braces: int, comments: bool) -> str:
-    """Code inside ``${ }``, following nested braces and templates."""
-    ops = "".join(c for c in REGEX_AFTER if c not in "{}")
-    parts = _js_code("/'\"`{}", ops)
-    if comments:
-        parts += [r"/\*(?s:.*?)(?:\*/|\z)", r"//[^\n]*+"]
-    if templates:
-        parts.append(js_template(templates - 1, comments))
-    if braces:
-        parts.append(rf"\{{{_js_braces(templates, braces - 1, comments)}\}}")
-    return rf"(?:{BLANK}*+{_JS_REGEX})?+(?:{'|'.join(parts)})*+"
-
-
-def js_interpolation(templates: int, comments: bool) -> str:
-    return rf"\$\{{{_js_braces(templates, BRACE_DEPTH, comments)}(?:\}}|\z)"
-
-
-def js_template(templates: int, comments: bool) -> str:
-    inner = js_interpolation(templates, comments)
-    return rf"`(?:[^`\\$]++|\\(?s:.|\z)|\$(?!\{{)|{inner})*+(?:`|\z)"
+# A template whose interpolations hold words and plain strings; a slash could be a comment.
+_JS_PLAIN = rf"[^{{}}`'\"/\\]++|{'|'.join(string_pattern(x) for x in SYNTAX['javascript'].strings)}"
+_JS_TEMPLATE = rf"`(?:[^`\\$]++|\\(?s:.|\z)|\$(?!\{{)|\$\{{(?:{_JS_PLAIN})*+\}})*+(?:`|\z)"
 
 
 _PY_LEAD = r"[ \t\r\f\x0B]*+(?=[rRbBuUfF]{0,2}(?:\"\"\"|'''))"
@@ -139,7 +108,7 @@ def _gap_parts(name: str, syn: Syntax) -> list[str]:
 
     if syn.special == "js":
         parts = _js_code("/'\"`", REGEX_AFTER)
-        return [*parts, js_template(TEMPLATE_DEPTH, comments=False)]
+        return [*parts, _JS_TEMPLATE]
     if syn.special == "python":
         return [rf"[^{special}\n]++", rf"\n(?!{_PY_LEAD})", *strs]
     if syn.special == "rust":
@@ -194,7 +163,6 @@ def token_pattern(name: str) -> str:
     comments = _comment_parts(syn)
     if syn.special == "js":
         lead = rf"(?:\A|\n){BLANK}*+{_JS_REGEX}{gap}*+"
-        comments += [js_template(TEMPLATE_DEPTH, comments=True)]
         parts = [lead, f"{gap}++", *comments]
     elif syn.special == "python":
         # A triple quote that starts a line may be a docstring: its own token.
@@ -283,64 +251,13 @@ def php_regions(text: Column) -> Column:
 
 # ---- tokens ----------------------------------------------------------------
 TOKEN = "struct<tok:string,lang:string,kind:int>"
-CODE, COMMENT, CANDIDATE, DEGRADED = 0, 1, 2, 3
+CODE, COMMENT, CANDIDATE = 0, 1, 2
 
 _FAMILIES: dict[tuple, list[str]] = {}
 for _name, _syn in SYNTAX.items():
     _FAMILIES.setdefault((token_pattern(_name), _syn.block, _syn.line), []).append(_name)
 
 
-def _is_template(tok: Column) -> Column:
-    """A template literal set apart because a comment hides in its ``${ }``."""
-    plain = r"\A" + js_template(TEMPLATE_DEPTH, comments=False)
-    return tok.startswith("`") & (F.length(tok) > 1) & ~rlike(tok, plain)
-
-
-_JS_PIECES = (
-    r"[^$\\]++|\\(?s:.|\z)|" + js_interpolation(TEMPLATE_DEPTH, comments=True) + r"|(?s:.)"
-)
-
-
-def _unmask(template: Column) -> Column:
-    """Blank out the literal parts of a template, keeping length and lines."""
-
-    def piece(p: Column) -> Column:
-        body = sub(sub(p, r"\A\$\{", "  "), r"\}\z", " ")
-        return F.when(p.startswith("${"), body).otherwise(sub(p, r"[^\n]", " "))
-
-    return F.array_join(F.transform(find_all(template, _JS_PIECES), piece), "")
-
-
-def _expand_template(tok: Column, depth: int) -> Column:
-    """Tokens of one template literal: its comments, and the original rest."""
-    inner = find_all(_unmask(tok), token_pattern("javascript"))
-    if depth > 1:
-        inner = let(inner, lambda t: _expand_templates(t, depth=depth - 1))
-
-    def restore(pieces: Column) -> Column:
-        def originals(offsets: Column) -> Column:
-            # Code pieces get their text back; comments were never masked.
-            return F.transform(
-                pieces,
-                lambda p, i: F.when(p.startswith("//") | p.startswith("/*"), p).otherwise(
-                    substr(tok, F.get(offsets, i), F.length(p))
-                ),
-            )
-
-        lengths = F.transform(pieces, lambda p: F.length(p))
-        return let(prefix(lengths, F.lit(0), "int", lambda a, n: a + n), originals)
-
-    return let(inner, restore)
-
-
-def _expand_templates(tokens: Column, *, depth: int) -> Column:
-    def one(t: Column) -> Column:
-        return F.when(_is_template(t), _expand_template(t, depth)).otherwise(F.array(t))
-
-    some = F.exists(tokens, lambda t: t.startswith("`") & _is_template(t))
-    return F.when(some, F.flatten(F.transform(tokens, one))).otherwise(tokens)
-
-
 def _kind(tok: Column, before: Column, syn: Syntax) -> Column:
     """What a token is, told by how it starts."""
     starts = [tok.startswith(o) for o, _ in syn.block] + [tok.startswith(t) for t in syn.line]
@@ -352,10 +269,6 @@ def _kind(tok: Column, before: Column, syn: Syntax) -> Column:
         glued = F.coalesce(before.endswith("*/"), F.lit(False)) & ~tok.startswith("/*")
         found = found & ~glued
     kind = F.when(found, F.lit(COMMENT))
-    if syn.nested:  # nested deeper than the pattern follows
-        kind = F.when(tok == syn.block[0][0], F.lit(DEGRADED)).when(found, F.lit(COMMENT))
-    if syn.special == "js":
-        kind = kind.when(tok == "`", F.lit(DEGRADED))
     if syn.special == "python":
         kind = kind.when(rlike(tok, r"\A[rRbBuUfF]{0,2}(?:\"\"\"|''')"), F.lit(CANDIDATE))
     return kind.otherwise(F.lit(CODE))
@@ -381,8 +294,9 @@ def _lex(body: Column, lang: Column, languages: Collection[str]) -> Column:
             continue
         syn = SYNTAX[names[0]]
         pieces = find_all(body, pattern)
-        if syn.special == "js":
-            pieces = let(pieces, lambda t: _expand_templates(t, depth=TEMPLATE_DEPTH + 1))
+        if names[0] in AUTOMATA:
+            opener, auto = "`" if syn.special == "js" else syn.block[0][0], AUTOMATA[names[0]]
+            pieces = let(pieces, lambda t: resolved(t, opener, auto))  # noqa: B023  built at once
         branches.append((lang.isin(*names), _labelled(pieces, lang, syn)))
     plain = F.array(F.struct(body.alias("tok"), lang.alias("lang"), F.lit(CODE).alias("kind")))
     return case(branches, plain)

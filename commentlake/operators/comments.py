@@ -58,10 +58,6 @@ def code_of(tok: str, flag: str) -> Column:
     )
 
 
-def degraded(tok: str) -> Column:
-    return F.exists(tok, lambda t: t["kind"] == lexer.DEGRADED)
-
-
 def _located(i: Column) -> Column:
     """struct of the raw facts about the comment at token ``i``."""
     t = F.get(F.col("_tok"), i)

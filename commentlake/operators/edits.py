@@ -18,7 +18,6 @@ from commentlake.operators.comments import (
     add_fields,
     classified_arrays,
     code_of,
-    degraded,
     lex,
 )
 
@@ -273,16 +272,12 @@ def _spans(df: DataFrame) -> DataFrame:
         return let(new, choose)
 
     decided = F.filter("comments", lambda c: c["action"].isNotNull())
-    return df.withColumn("_spans", pinned(F.when(~F.col("lex_degraded"), F.transform(decided, span))))
+    return df.withColumn("_spans", pinned(F.transform(decided, span)))
 
 
 def apply_edits(planned: DataFrame) -> DataFrame:
-    """Add ``after``: the text with the decided edits applied.
-
-    Files the lexer could not follow (``lex_degraded``) are never edited.
-    """
-    df = planned.withColumn("lex_degraded", degraded("_tok"))
-    df = _spans(df)
+    """Add ``after``: the text with the decided edits applied."""
+    df = _spans(planned)
     whole = F.transform(
         F.filter("_spans", lambda s: s["whole"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"))
     )
@@ -330,8 +325,8 @@ def clean_files(files: DataFrame, mode: str = "delete", opts: Options = Options(
                 languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
     """Plan, apply and verify in one narrow pass over the files.
 
-    Returns path, lang, before, after, ok, first_difference, lex_degraded and the
-    per-file counts. ``after`` equals ``before`` where nothing changed.
+    Returns path, lang, before, after, ok, first_difference and the per-file
+    counts. ``after`` equals ``before`` where nothing changed.
     """
     planned = PLANS[mode](classified_arrays(files, protections, languages), opts)
     return _summarised(verify(apply_edits(planned), languages))
@@ -341,16 +336,14 @@ def _summarised(verified: DataFrame) -> DataFrame:
     def count(cond) -> Column:
         return F.size(F.filter("comments", cond))
 
-    live = F.when(F.col("lex_degraded"), F.lit(0))
     saved = count_lines(F.col("text")) - count_lines(F.col("after"))
     columns = {
         "before": F.col("text"),
         "after": F.col("after"),
         "ok": F.col("ok"),
         "first_difference": F.col("first_difference"),
-        "lex_degraded": F.col("lex_degraded"),
-        "deleted": live.otherwise(count(lambda c: c["action"] == DELETE)),
-        "shortened": live.otherwise(count(lambda c: c["action"] == REPLACE)),
+        "deleted": count(lambda c: c["action"] == DELETE),
+        "shortened": count(lambda c: c["action"] == REPLACE),
         "protected": count(lambda c: c["protected"].isNotNull()),
         "lines_saved": saved,
     }

@@ -81,14 +81,6 @@ def test_cases(spark, files):
     assert not wrong
 
 
-def test_too_deep_nesting_is_flagged_and_left_alone(files):
-    from commentlake.operators.edits import clean_files
-
-    deep = "/*" * 12 + " x " + "*/" * 12 + "\nfn main() {}\n"
-    row = clean_files(files(("a.rs", deep, "rust")), languages=("rust",)).first()
-    assert row.lex_degraded and row.after == deep and row.deleted == 0
-
-
 def test_many_comments_in_one_file(files):
     text = "# n\nx = 1\n" * 20_000
     out = ops.extract_comments(files(("big.py", text, "python")), ("python",), context=())
