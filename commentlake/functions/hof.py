@@ -149,3 +149,38 @@ def prefix(
             F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda b: blocked(a, b)
         ),
     )
+
+
+def scan(
+    arr: Column, init: Column, state_type: str, out_type: str,
+    step: Callable[[Column, Column], Column],
+) -> Column:
+    """Running fold with an output per element: ``step`` gives struct<st: next state, out: output>.
+
+    In blocks of about sqrt(n) like ``prefix``.
+    """
+    none = F.array().cast(f"array<{out_type}>")
+
+    def fold(block: Column, state: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            return let(step(acc["st"], x), lambda r: F.struct(r["st"].alias("st"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+        return F.aggregate(block, F.struct(state.alias("st"), none.alias("out")), one)
+
+    def blocked(a: Column, size: Column) -> Column:
+        last = F.greatest(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int"))
+        return F.aggregate(
+            F.sequence(F.lit(0), last),
+            F.struct(init.cast(state_type).alias("st"), none.alias("out")),
+            lambda acc, k: let(
+                fold(F.slice(a, k * size + 1, size), acc["st"]),
+                lambda r: F.struct(r["st"].alias("st"), F.concat(acc["out"], r["out"]).alias("out")),
+            ),
+        )["out"]
+
+    return let(
+        arr,
+        lambda a: let(
+            F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda b: blocked(a, b)
+        ),
+    )

@@ -85,34 +85,24 @@ def end_place(line: Column, col: Column, text: Column) -> Column:
     )
 
 
-def takes_whole_lines(wrapped: Column, own_line: Column, after: Column) -> Column:
-    return wrapped | (own_line & is_blank(after))
-
-
 def delete_span(
     line: Column, end_line: Column, col: Column, text: Column,
-    before: Column, after: Column, wrapped: Column, own_line: Column, trailing: Column,
+    gap: Column, follower: Column, lead: Column, wrapped: Column, own_line: Column, trailing: Column,
 ) -> Column:
     """struct<a, b, whole>: what goes with a deleted comment.
 
     Whole lines when nothing else is on them; the blanks before a trailing
-    comment; the blanks after a leading one.
+    comment; the blanks after a leading one. ``gap`` and ``lead`` count those blanks,
+    and ``follower`` is 0 where nothing visible follows on the line.
     """
     end = end_place(line, col, text)
     return (
         F.when(
-            takes_whole_lines(wrapped, own_line, after),
+            wrapped | (own_line & (follower == 0)),
             _span(place(line - 1, F.lit(0)), place(end_line, F.lit(0)), F.lit(True)),
         )
-        .when(
-            trailing,
-            _span(place(line - 1, F.length(F.rtrim(before, F.lit(" \t")))), end, F.lit(False)),
-        )
-        .otherwise(
-            _span(
-                place(line - 1, col), end + F.length(find(after, r"\A[ \t]*")), F.lit(False)
-            )
-        )
+        .when(trailing, _span(place(line - 1, col - gap), end, F.lit(False)))
+        .otherwise(_span(place(line - 1, col), end + lead, F.lit(False)))
     )
 
 

@@ -135,20 +135,43 @@ def _content(ws: Column, longer_than: int) -> Column:
     return F.filter(ws, lambda w: ~w.isin(*STOPWORDS) & (F.length(w) > longer_than))
 
 
-def restates(inner: Column, trailing: Column, same_line: Column, code_after: Column) -> Column:
-    """Share of the content words that the neighbouring code says already."""
+def content(inner: Column) -> Column:
+    """The words of a comment that could restate code."""
+    return _content(words(inner), 2)
 
-    def share(target: Column) -> Column:
-        def of(ws: Column) -> Column:
-            def hits(idents: Column) -> Column:
-                return F.size(F.filter(ws, lambda w: echoes(w, idents))) / F.size(ws)
 
-            return F.when(F.size(ws) >= 2, let(vocabulary(target), hits)).otherwise(F.lit(0.0))
+def share_in(ws: Column, vocab: Column) -> Column:
+    """Share of the words that a vocabulary echoes; 0 for fewer than two."""
+    hits = F.size(F.filter(ws, lambda w: echoes(w, vocab))) / F.size(ws)
+    return F.when(F.size(ws) >= 2, hits).otherwise(F.lit(0.0))
 
-        return F.when(is_blank(target), F.lit(0.0)).otherwise(let(_content(words(inner), 2), of))
 
-    target = F.when(trailing, same_line).otherwise(F.substring_index(code_after, "\n", 2))
-    return let(target, share)
+def restates(inner: Column, target: Column) -> Column:
+    """Share of the content words that the neighbouring code (``target``) says already.
+
+    The code is looked at only for a comment of two such words or more.
+    """
+
+    def share(ws: Column, code: Column) -> Column:
+        return F.when(is_blank(code), F.lit(0.0)).otherwise(let(vocabulary(code), lambda v: share_in(ws, v)))
+
+    def of(ws: Column) -> Column:
+        return F.when(F.size(ws) >= 2, let(target, lambda code: share(ws, code))).otherwise(F.lit(0.0))
+
+    return let(content(inner), of)
+
+
+def grown(vocab: Column, code: Column) -> Column:
+    """A vocabulary with the words of more code that it lacks."""
+    fresh = F.array_except(F.split(vocabulary(code), " "), F.split(vocab, " "))
+    return F.concat(vocab, F.array_join(fresh, " "), F.lit(" "))
+
+
+def crosses(before: Column, code: Column) -> Column:
+    """The operators that lie across the cut between two runs of code, where each half lacks them."""
+    longest = max(map(len, OPERATOR_WORDS))
+    seam = F.concat(F.right(before, F.lit(longest - 1)), F.left(code, F.lit(longest - 1)))
+    return F.regexp_replace(seam, F.lit(r"[\w$]"), F.lit(" "))
 
 
 def _empty_tag(line: Column) -> Column:

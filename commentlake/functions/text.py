@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from commentlake.functions.hof import (
     find,
     is_blank,
+    last_line,
     let,
     lstrip,
     newlines,
+    prefix,
     rstrip,
     strip,
     sub,
@@ -151,9 +153,101 @@ def is_sole_statement(kind: Column, indent: Column, following: Column) -> Column
     )
 
 
-def is_wrapped(kind: Column, before: Column, after: Column) -> Column:
-    """``{/* ... */}`` alone on its line."""
-    return (kind == "block") & (strip(before) == "{") & lstrip(after).startswith("}")
+# ---- what stands around a comment on its lines -----------------------------------
+# Two packed numbers per comment instead of its line's text, so that a line of very
+# many comments costs as much as its length. Before: whether the line holds nothing
+# (0), one opening brace (1) or more (2) up to the comment, and the blanks right before
+# it. After: the code of the first visible character on the rest of the line (0 for
+# none), and the blanks right after it.
+BLANKS = " \t"
+
+
+def _packed(kind: Column, count: Column) -> Column:
+    return F.shiftleft(kind.cast("bigint"), 32) + count
+
+
+def kind_in(packed: Column) -> Column:
+    return F.shiftright(packed, 32).cast("int")
+
+
+def count_in(packed: Column) -> Column:
+    return packed.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _ends(part: Column) -> Column:
+    """The fact before what follows ``part``, the last line of a token."""
+    kind = let(
+        lstrip(part),
+        lambda x: F.when(x == "", F.lit(0)).when(x.startswith("{") & is_blank(F.substring(x, 2, 1 << 30)), F.lit(1)).otherwise(F.lit(2)),
+    )
+    return _packed(kind, F.length(part) - F.length(F.rtrim(part, F.lit(BLANKS))))
+
+
+def _begins(part: Column) -> Column:
+    """The fact after what precedes ``part``, the first line of a token."""
+    return _packed(F.ascii(lstrip(part)), F.length(part) - F.length(F.ltrim(part, F.lit(BLANKS))))
+
+
+def _breaks(tok: Column) -> Column:
+    return F.contains(tok, F.lit("\n"))
+
+
+def sides(toks: Column, flags: Column, i: Column, before: Column, after: Column) -> tuple[Column, Column]:
+    """(before, after) of the comment at token ``i``.
+
+    Mostly the neighbouring token alone says it; ``before`` and ``after`` hold the
+    facts of all tokens in files where it does not.
+    """
+    ahead, behind = F.get(toks, i - 1)["tok"], F.get(toks, i + 1)["tok"]
+    front = F.when(i == 0, F.lit(0).cast("bigint")).otherwise(_ends(last_line(ahead)))
+    back = F.when(behind.isNull(), F.lit(0).cast("bigint")).otherwise(_begins(F.substring_index(behind, "\n", 1)))
+    return F.coalesce(F.get(before, i), front), F.coalesce(F.get(after, F.size(toks) - 1 - i), back)
+
+
+def all_before(toks: Column, flags: Column) -> Column:
+    """Facts before every token; null where no comment needs more than its neighbour."""
+    crowded = F.exists(
+        F.sequence(F.lit(2), F.greatest(F.size(toks) - 1, F.lit(2))),
+        lambda i: F.coalesce(F.get(flags, i), F.lit(False)) & ~F.coalesce(_breaks(F.get(toks, i - 1)["tok"]), F.lit(True)),
+    )
+
+    def one(t: Column) -> Column:
+        part = last_line(t["tok"])
+        return F.struct(_breaks(t["tok"]).alias("cut"), F.length(part).alias("size"), _ends(part).alias("fact"))
+
+    def step(state: Column, x: Column) -> Column:
+        k, n = kind_in(x["fact"]), count_in(x["fact"])
+        kind = F.when(k == 0, kind_in(state)).when(kind_in(state) == 0, k).otherwise(F.lit(2))
+        return F.when(x["cut"], x["fact"]).otherwise(
+            _packed(kind, n + F.when(n == x["size"], count_in(state)).otherwise(F.lit(0)))
+        )
+
+    return F.when(crowded, let(F.transform(toks, one), lambda a: prefix(a, F.lit(0), "bigint", step)))
+
+
+def all_after(toks: Column, flags: Column) -> Column:
+    """Facts after every token, the last token's first; null as above."""
+    crowded = F.exists(
+        F.sequence(F.lit(0), F.greatest(F.size(toks) - 3, F.lit(0))),
+        lambda i: F.coalesce(F.get(flags, i), F.lit(False)) & (i < F.size(toks) - 2) & ~F.coalesce(_breaks(F.get(toks, i + 1)["tok"]), F.lit(True)),
+    )
+
+    def one(t: Column) -> Column:
+        part = F.substring_index(t["tok"], "\n", 1)
+        return F.struct(_breaks(t["tok"]).alias("cut"), F.length(part).alias("size"), _begins(part).alias("fact"))
+
+    def step(state: Column, x: Column) -> Column:
+        k, n = kind_in(x["fact"]), count_in(x["fact"])
+        return F.when(x["cut"], x["fact"]).otherwise(
+            _packed(F.when(k == 0, kind_in(state)).otherwise(k), n + F.when(n == x["size"], count_in(state)).otherwise(F.lit(0)))
+        )
+
+    return F.when(crowded, let(F.transform(F.reverse(toks), one), lambda a: prefix(a, F.lit(0), "bigint", step)))
+
+
+def indents(lines: Column) -> Column:
+    """The blanks that each line begins with."""
+    return F.transform(lines, lambda x: F.left(x, F.length(x) - F.length(F.ltrim(x, F.lit(BLANKS)))))
 
 
 def context(lines: Column, first: Column, count: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlake.functions import lexer, protect, score, text
-from commentlake.functions.hof import is_blank, newlines, pinned, strip, substr
+from commentlake.functions.hof import let, newlines, pinned, scan, strip, substr
 from commentlake.functions.protect import Protections
 
 Get = Callable[[str], Column]
@@ -64,6 +64,7 @@ def _located(i: Column) -> Column:
     body, lang = t["tok"], t["lang"]
     start = lexer.offset_of(F.get(F.col("_pos"), i))
     kind = text.kind_of(t["kind"], body, lang)
+    before, after = text.sides(F.col("_tok"), F.col("_is"), i, F.col("_before"), F.col("_after"))
     return F.struct(
         start.alias("start"),
         (start + F.length(body)).alias("end"),
@@ -75,35 +76,43 @@ def _located(i: Column) -> Column:
         (start - F.get(F.col("_bol"), i)).alias("col"),
         newlines(body).alias("breaks"),
         F.when(body.endswith("\n"), F.lit(1)).otherwise(F.lit(0)).alias("open_end"),
+        before.alias("before"),
+        after.alias("after"),
+        i.alias("at"),
     )
 
 
 # Later layers read earlier ones; each is one pass over the comments of a file.
 def _layer_lines(c: Get) -> Mapping[str, Column]:
-    last = c("line") + c("breaks")
-    end_col = F.when(
-        c("breaks") > 0, F.length(F.substring_index(c("text"), "\n", -1))
-    ).otherwise(c("col") + F.length(c("text")))
-    lines = F.col("_lines")
-    line_text, last_text = F.get(lines, c("line") - 1), F.get(lines, last - 1)
     return {
-        "end_line": last - c("open_end"),
+        "end_line": c("line") + c("breaks") - c("open_end"),
         "open_tok": text.open_mark(c("kind"), c("doc"), c("text")),
         "close_tok": text.close_mark(c("kind"), c("text")),
-        "before": substr(F.coalesce(line_text, F.lit("")), F.lit(0), c("col")),
-        "after": F.substring(F.coalesce(last_text, F.lit("")), end_col + 1, F.length(last_text)),
+        "front": text.kind_in(c("before")),
+        "gap": text.count_in(c("before")),
+        # A comment that ends with its line has nothing after it there.
+        "follower": F.when(c("open_end") == 1, F.lit(0)).otherwise(text.kind_in(c("after"))),
+        "lead": F.when(c("open_end") == 1, F.lit(0)).otherwise(text.count_in(c("after"))),
     }
 
 
 def _layer_place(c: Get) -> Mapping[str, Column]:
-    blank = is_blank(c("before"))
+    # Blank up to the comment: the first one on its line, so no line is cut twice.
+    alone = substr(F.coalesce(F.get(F.col("_lines"), c("line") - 1), F.lit("")), F.lit(0), c("col"))
     return {
-        "jsx_wrapped": text.is_wrapped(c("kind"), c("before"), c("after")),
-        "indent": F.when(blank, c("before")).otherwise(F.regexp_extract(c("before"), r"\A[ \t]*", 0)),
-        "code_same_line": strip(c("before")),
+        "jsx_wrapped": (c("kind") == "block") & (c("front") == 1) & (c("follower") == ord("}")),
+        "indent": F.when(c("front") == 0, alone).otherwise(F.get(F.col("_indents"), c("line") - 1)),
     }
 
 
+def _same_line(c: Get) -> Column:
+    return strip(substr(F.coalesce(F.get(F.col("_lines"), c("line") - 1), F.lit("")), F.lit(0), c("col")))
+
+
+def _layer_same(c: Get) -> Mapping[str, Column]:
+    return {"code_same_line": _same_line(c)}
+
+
 def _layer_before(c: Get) -> Mapping[str, Column]:
     first = F.greatest(F.lit(1), c("line") - 3)
     return {
@@ -120,11 +129,11 @@ def _layer_following(c: Get) -> Mapping[str, Column]:
     return {"following": F.when(c("kind") == "docstring", found)}
 
 
-CONTEXT = {"before": _layer_before, "after": _layer_after, "following": _layer_following}
+CONTEXT = {"same": _layer_same, "before": _layer_before, "after": _layer_after, "following": _layer_following}
 
 
 def _layer_text(c: Get) -> Mapping[str, Column]:
-    own = c("jsx_wrapped") | is_blank(c("before"))
+    own = c("jsx_wrapped") | (c("front") == 0)
     return {
         "own_line": own,
         "trailing": ~own,
@@ -140,28 +149,29 @@ def _layer_sole(c: Get) -> Mapping[str, Column]:
     return {"sole_statement": text.is_sole_statement(c("kind"), c("indent"), c("following"))}
 
 
-LOCATED = ("start", "end", "kind", "doc", "lang", "text", "line", "col", "breaks", "open_end")
+LOCATED = ("start", "end", "kind", "doc", "lang", "text", "line", "col", "breaks", "open_end", "before", "after", "at")
 
 
 def comment_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES,
                    context: Collection[str] = tuple(CONTEXT)) -> DataFrame:
     """Add ``comments``: array of located comments with their surroundings.
 
-    ``context`` limits which neighbouring lines are looked up.
+    ``context`` limits which neighbouring lines are copied into each comment.
     """
     out = lex(files, languages)
     out = out.withColumn("_lines", pinned(F.split("text", "\n")))
+    out = out.withColumn("_before", pinned(text.all_before(F.col("_tok"), F.col("_is"))))
+    out = out.withColumn("_after", pinned(text.all_after(F.col("_tok"), F.col("_is"))))
     places = F.filter(
         F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
     )
     out = out.withColumn("comments", pinned(F.transform(places, _located)))
     names = list(LOCATED)
     out, names = add_fields(out, names, _layer_lines)
-    layers = [_layer_place]
-    if context:
-        out = out.withColumn("_real_lines", pinned(text.lines_of(F.col("text"))))
-        layers += [CONTEXT[name] for name in context]
-    for layer in layers:
+    behind = F.exists("comments", lambda c: c["front"] != 0)
+    out = out.withColumn("_indents", pinned(F.when(behind, text.indents(F.col("_lines")))))
+    out = out.withColumn("_real_lines", pinned(text.lines_of(F.col("text"))))
+    for layer in (_layer_place, *(CONTEXT[name] for name in context)):
         out, names = add_fields(out, names, layer)
     return out
 
@@ -202,11 +212,72 @@ def _layer_protect(prot: Protections):
 
 
 def _layer_restated(c: Get) -> Mapping[str, Column]:
-    return {
-        "restated": score.restates(
-            c("inner"), c("trailing"), c("code_same_line"), c("code_after")
-        )
-    }
+    near = F.when(c("trailing"), c("code_same_line")).otherwise(F.substring_index(c("code_after"), "\n", 2))
+    return {"restated": score.restates(c("inner"), near)}
+
+
+#: Lines of code before comments may be read so many times the file's length; beyond it they are read once, by a fold.
+REREAD = 4
+
+
+def _line_shares() -> Column:
+    """``restated`` of every trailing comment, from one vocabulary that grows along each line.
+
+    The code before a comment is that before the last one on its line, that comment
+    and what follows it: only the new part is read.
+    """
+    toks = F.col("_tok")
+
+    def part(c: Column, i: Column) -> Column:
+        """(text since the last comment began, whether the line began in it, words asked for)."""
+        since = F.coalesce(F.get(F.col("comments"), i - 1)["at"], F.lit(0))
+        run = F.array_join(F.transform(F.slice(toks, since + 1, c["at"] - since), lambda t: t["tok"]), "")
+        return let(run, lambda r: F.struct(
+            text.last_line(r).alias("code"), F.contains(r, F.lit("\n")).alias("fresh"),
+            F.when(c["trailing"], score.content(c["inner"])).alias("words"),
+        ))
+
+    def step(state: Column, x: Column) -> Column:
+        # The state is the vocabulary, then the last characters of the line so far.
+        known = F.when(x["fresh"], F.lit(" ")).otherwise(F.substring_index(state, "\n", 1))
+        tail = F.when(x["fresh"], F.lit("")).otherwise(F.substring_index(state, "\n", -1))
+
+        def told(vocab: Column) -> Column:
+            return F.struct(
+                F.concat(vocab, F.lit("\n"), F.right(F.concat(tail, x["code"]), F.lit(4))).alias("st"),
+                F.when(x["words"].isNotNull(), score.share_in(x["words"], vocab)).alias("out"),
+            )
+
+        whole = F.concat(x["code"], F.lit(" "), score.crosses(tail, x["code"]))
+        return let(let(known, lambda k: score.grown(k, whole)), told)
+
+    return scan(F.transform("comments", part), F.lit(" \n"), "string", "double", step)
+
+
+def _with_restated(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Add ``restated`` from the lines of the file: no comment holds a copy of its surroundings."""
+    df = df.withColumns(_restated_columns(_jvm()))
+    column, names = _indexed_restated(tuple(names), _jvm())
+    return df.withColumn("comments", column), list(names)
+
+
+@lru_cache(maxsize=8)
+def _restated_columns(jvm) -> dict[str, Column]:
+    asks = lambda c: c["trailing"] & F.contains(c["inner"], F.lit(" "))  # noqa: E731  two words or more
+    read = F.aggregate("comments", F.lit(0).cast("bigint"), lambda a, c: a + F.when(asks(c), c["col"]).otherwise(F.lit(0)))
+    return {"_shares": pinned(F.when(read > REREAD * F.length("text"), _line_shares()))}
+
+
+@lru_cache(maxsize=64)
+def _indexed_restated(names: tuple, jvm) -> tuple[Column, tuple]:
+    def one(c: Column, i: Column) -> Column:
+        get = lambda n: c[n]
+        below = text.context(F.col("_real_lines"), c["end_line"] + 1, F.lit(2))
+        near = F.when(c["trailing"], _same_line(get)).otherwise(below)
+        share = F.coalesce(F.get(F.col("_shares"), i), score.restates(c["inner"], near))
+        return F.struct(*[c[n].alias(n) for n in names], share.alias("restated"))
+
+    return F.transform("comments", one), (*names, "restated")
 
 
 def _layer_rules(c: Get) -> Mapping[str, Column]:
@@ -230,15 +301,18 @@ def _layer_score(c: Get) -> Mapping[str, Column]:
 
 
 DESCRIBE = (_layer_text, _layer_inner, _layer_sole)
-RATE = (_layer_restated, _layer_rules, _layer_score)
+RATE = (_layer_rules, _layer_score)
 
 
 def classified_arrays(files: DataFrame, protections: Protections = Protections(),
                       languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
-    """``comment_arrays`` with every annotation and the classification, in place."""
-    out = comment_arrays(files, languages)
+    """``comment_arrays`` with annotation and classification in place, without copies of neighbouring lines."""
+    out = comment_arrays(files, languages, context=("following",))
     names = out.schema["comments"].dataType.elementType.fieldNames()
-    for layer in (*DESCRIBE, _layer_protect(protections), *RATE):
+    for layer in (*DESCRIBE, _layer_protect(protections)):
+        out, names = add_fields(out, names, layer)
+    out, names = _with_restated(out, names)
+    for layer in RATE:
         out, names = add_fields(out, names, layer)
     return out.withColumn("comments", pinned(F.col("comments")))
 
@@ -246,10 +320,12 @@ def classified_arrays(files: DataFrame, protections: Protections = Protections()
 def file_counts(files: DataFrame, protections: Protections = Protections(),
                 languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
     """One row per file with its comment counts, in one pass and without a shuffle."""
-    out = comment_arrays(files, languages, context=("after",))
+    out = comment_arrays(files, languages, context=())
     names = out.schema["comments"].dataType.elementType.fieldNames()
-    for layer in (_layer_text, _layer_inner, _layer_protect(protections), _layer_restated,
-                  _layer_rules, _layer_points):
+    for layer in (_layer_text, _layer_inner, _layer_protect(protections)):
+        out, names = add_fields(out, names, layer)
+    out, names = _with_restated(out, names)
+    for layer in (_layer_rules, _layer_points):
         out, names = add_fields(out, names, layer)
 
     def count(cond) -> Column:
@@ -318,7 +394,7 @@ def annotate(comments: DataFrame) -> DataFrame:
 
 def classify(comments: DataFrame, protections: Protections = Protections()) -> DataFrame:
     """Protection code and detail, style score and its reasons."""
-    rated = _apply(comments, (_layer_protect(protections), *RATE))
+    rated = _apply(comments, (_layer_protect(protections), _layer_restated, *RATE))
     return rated.withColumns({n: pinned(F.col(n)) for n in ("protected", "ai_score")})
 
 

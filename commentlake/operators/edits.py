@@ -252,7 +252,7 @@ def _spans(df: DataFrame) -> DataFrame:
 
         def choose(repl: Column) -> Column:
             gone = rewrite.delete_span(
-                c["line"], c["end_line"], c["col"], c["text"], c["before"], c["after"],
+                c["line"], c["end_line"], c["col"], c["text"], c["gap"], c["follower"], c["lead"],
                 c["jsx_wrapped"], c["own_line"], c["trailing"],
             )
             swapped = F.struct(
