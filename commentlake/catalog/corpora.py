@@ -81,6 +81,88 @@ SELECT {_text("'sup/'", _str('s_suppkey'), "'.ts'")} AS path,
   'typescript' AS lang
 FROM supplier"""
 
+# ---- rule by rule ------------------------------------------------------------
+# Small files that each turn on one rule, told apart by the key of a table's row. In the
+# texts § stands for the key, ¶ for a line end, ´ for a single quote, ¬ for a backslash;
+# beside each file what it holds, read from the rules by hand:
+# (text, kind, doc, bare text, own line, alone in braces, sole statement, protected).
+CASES = (
+    ("js", "javascript", "let r = /a¬/¬/[/*]§/i; // tail §¶", [("// tail §", "line", False, "tail §", False, False, False, None)]),
+    ("js", "javascript", "s = `${ f({ a: { b: { c: { d: `${ `${ x /* in § */ } // no` } // no` } } } }) } // no`; // out §¶", [
+        ("/* in § */", "block", False, "in §", False, False, False, None), ("// out §", "line", False, "out §", False, False, False, None)]),
+    ("ts", "typescript", "t = `a${ `b${ `c${ `d${ `e${ `f${ g({ h: /}`/ }) /* six § */ }` }` }` }` }` }`;¶", [
+        ("/* six § */", "block", False, "six §", False, False, False, None)]),
+    ("jsx", "javascript", "const a = (¶  <p>¶    {/* note § */}¶  </p>¶);¶", [("/* note § */", "block", False, "note §", True, True, False, None)]),
+    ("rs", "rust", "/* a /* b /* c § */ */ */¶let q = ´\"´; let s = r#\"// \"no\" §\"#; // life §¶", [
+        ("/* a /* b /* c § */ */ */", "block", False, "a /* b /* c § */ */", True, False, False, None),
+        ("// life §", "line", False, "life §", False, False, False, None)]),
+    ("sh", "shell", "#!/bin/sh¶cat <<´END´ # head §¶# body §¶END¶x=$((1 << 3)) # shift §¶", [
+        ("#!/bin/sh", "line", False, "!/bin/sh", True, False, False, "shebang"),
+        ("# shift §", "line", False, "shift §", False, False, False, None)]),
+    ("php", "php", "<p>// no</p>¶<?php¶$t = <<<TXT¶// body §¶TXT;¶// real §¶?>¶<i># no</i>¶", [
+        ("// real §", "line", False, "real §", True, False, False, None)]),
+    ("yml", "yaml", "run: |¶  # body §¶  go¶key: 1  # yes §¶", [("# yes §", "line", False, "yes §", False, False, False, None)]),
+    ("py", "python", "def f():¶    \"\"\"Sole §.\"\"\"¶¶¶def g():¶    \"\"\"First §.¶¶    Second.¶    \"\"\"¶    return 1  # noqa: E501¶", [
+        ("\"\"\"Sole §.\"\"\"", "docstring", True, "Sole §.", True, False, True, "api_doc"),
+        ("\"\"\"First §.¶¶    Second.¶    \"\"\"", "docstring", True, "First §. Second.", True, False, False, "api_doc"),
+        ("# noqa: E501", "line", False, "noqa: E501", False, False, False, "directive")]),
+    ("js", "javascript", "// eslint-disable-next-line no-console¶console.log(§);¶", [
+        ("// eslint-disable-next-line no-console", "line", False, "eslint-disable-next-line no-console", True, False, False, "directive")]),
+    ("go", "go", "p := `x // § y`¶//go:build linux¶// z §¶", [
+        ("//go:build linux", "line", False, "go:build linux", True, False, False, "directive"),
+        ("// z §", "line", False, "z §", True, False, False, None)]),
+    ("html", "html", "<!-- m § --><script>// j §¶</script><style>/* c § */</style>¶", [
+        ("<!-- m § -->", "block", False, "m §", True, False, False, None), ("// j §", "line", False, "j §", False, False, False, None),
+        ("/* c § */", "block", False, "c §", False, False, False, None)]),
+    ("toml", "toml", "a = ´´´¶# in §¶´´´  # out §¶", [("# out §", "line", False, "out §", False, False, False, None)]),
+    ("sql", "sql", "SELECT ´it´´s -- §´; -- out §¶", [("-- out §", "line", False, "out §", False, False, False, None)]),
+    ("lua", "lua", "--[[ l¶ § ]] x = 1 -- n §¶", [
+        ("--[[ l¶ § ]]", "block", False, "l §", True, False, False, None), ("-- n §", "line", False, "n §", False, False, False, None)]),
+    ("rb", "ruby", "=begin¶long §¶=end¶puts 1 # s §¶", [
+        ("=begin¶long §¶=end", "block", False, "long §", True, False, False, None), ("# s §", "line", False, "s §", False, False, False, None)]),
+    ("swift", "swift", "let a = \"\"\"¶// in §¶\"\"\" /* b /* § */ */¶/// doc §¶", [
+        ("/* b /* § */ */", "block", False, "b /* § */", False, False, False, None),
+        ("/// doc §", "line", True, "doc §", True, False, False, "api_doc")]),
+    ("java", "java", "// Copyright § A¶class B {} // TODO: §¶", [
+        ("// Copyright § A", "line", False, "Copyright § A", True, False, False, "header"),
+        ("// TODO: §", "line", False, "TODO: §", False, False, False, "marker")]),
+)
+CASE_LANGUAGES = tuple(dict.fromkeys(c[1] for c in CASES))
+
+
+def case_text(template: str) -> str:
+    """SQL for a text of ``CASES`` in the row whose key is p_partkey."""
+    # Braces name tables where Spark takes a SELECT.
+    quoted = "'" + template.replace("{", "⟨").replace("}", "⟩") + "'"
+    for mark, value in (("§", _str("p_partkey")), ("¶", NL), ("´", QUOTE), ("¬", "chr(92)"), ("⟨", "chr(123)"), ("⟩", "chr(125)")):
+        quoted = f"replace({quoted}, '{mark}', {value})"
+    return quoted
+
+
+def _by_case(values) -> str:
+    return f"CASE p_partkey % {len(CASES)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+RULE_CASES = f"""
+SELECT concat('case/', {_str('p_partkey')}, '.', {_by_case(f"'{c[0]}'" for c in CASES)}) AS path,
+  {_by_case(case_text(c[2]) for c in CASES)} AS text, {_by_case(f"'{c[1]}'" for c in CASES)} AS lang
+FROM part"""
+
+# Block comments as deep as the key says, and templates around a comment likewise.
+NESTED_BLOCKS = f"""
+SELECT concat('deep/', {_str('p_partkey')}, '.rs') AS path,
+  concat('let a = 1; ', repeat('/* x ', CAST(p_partkey % 12 + 1 AS INT)), p_name, repeat(' */', CAST(p_partkey % 12 + 1 AS INT)),
+    ' let b = "/* no */"; // end', {NL}) AS text, 'rust' AS lang
+FROM part"""
+_DEPTH = "CAST(event_id % 7 AS INT)"
+_OPEN, _SHUT = "chr(123)", "chr(125)"
+NESTED_TEMPLATES = f"""
+SELECT concat('deep/', {_str('event_id')}, '.js') AS path,
+  concat('const s = ', repeat(concat('`a $', {_OPEN}, ' f(', {_OPEN}, ' k: ', {_OPEN}, ' v: '), {_DEPTH}), 'x /* deep ',
+    {_str('event_id')}, ' */', repeat(concat(' ', {_SHUT}, ' ', {_SHUT}, ') ', {_SHUT}, ' // no`'), {_DEPTH}), '; // ',
+    event_type, {NL}) AS text, 'javascript' AS lang
+FROM events"""
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",

@@ -24,6 +24,27 @@ def _strip(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def _rule_cases() -> str:
+    """The comments that CASES lists, one SELECT each."""
+    out = []
+    for k, (ending, lang, template, comments) in enumerate(C.CASES):
+        for n, (text, kind, doc, inner, own, wrapped, sole, protected) in enumerate(comments):
+            said = C.case_text(text)
+            out.append(
+                f"SELECT concat('case/', CAST(p_partkey AS STRING), '.{ending}') AS path, 'c{n:04d}' AS comment_id, "
+                f"instr({C.case_text(template)}, {said}) - 1 AS \"start\", '{kind}' AS kind, {doc} AS doc, "
+                f"{_q(_region_of(lang, text))} AS lang, {said} AS text, {C.case_text(inner)} AS \"inner\", {own} AS own_line, "
+                f"{wrapped} AS jsx_wrapped, {sole} AS sole_statement, {_q(protected) if protected else 'CAST(NULL AS STRING)'} AS protected "
+                f"FROM part WHERE p_partkey % {len(C.CASES)} = {k}"
+            )
+    return " UNION ALL ".join(out)
+
+
+def _region_of(lang: str, text: str) -> str:
+    """Scripts and styles in markup are of their own language."""
+    return {"//": "javascript", "/*": "css"}.get(text[:2], lang) if lang == "html" else lang
+
+
 # ---- selection ----------------------------------------------------------------
 _NAME = "regexp_replace(path, '^.*/', '')"
 _SELECTION = f"""
@@ -350,6 +371,15 @@ UNION ALL SELECT path, 'c0002', s2 + length(p_type) + 4 + 23, 'block', FALSE, '/
     "py_comments": f"""{_FOUND} SELECT path, concat('c', lpad(CAST(k AS STRING), 4, '0')) AS comment_id, start AS "start",
   'line' AS kind, FALSE AS doc, '#' AS open_tok, text FROM found""",
     "ts_comments": f"""WITH {_SUP} SELECT path, comment_id, start AS "start", kind, doc, open_tok, text FROM sc""",
+    "nested_block_comments": f"""WITH c AS ({C.NESTED_BLOCKS})
+SELECT path, 'c0000' AS comment_id, 11 AS "start", 'block' AS kind, FALSE AS doc, '/*' AS open_tok,
+  substr(text, 12, instr(text, ' let b') - 12) AS text FROM c
+UNION ALL SELECT path, 'c0001', length(text) - 7, 'line', FALSE, '//', '// end' FROM c""",
+    "js_template_comments": f"""WITH c AS ({C.NESTED_TEMPLATES})
+SELECT path, 'c0000' AS comment_id, instr(text, '/* deep') - 1 AS "start", 'block' AS kind, FALSE AS doc, '/*' AS open_tok,
+  regexp_extract(text, '/[*] deep [0-9]+ [*]/') AS text FROM c
+UNION ALL SELECT path, 'c0001', instr(text, '; //') + 1, 'line', FALSE, '//', rtrim(substr(text, instr(text, '; //') + 2), chr(10)) FROM c""",
+    "rule_cases": _rule_cases(),
     "comment_positions": f"""WITH {_EVENT_COMMENTS} SELECT path, start AS "start", start + length(text) AS "end", line, end_line, col,
   '' AS indent, NOT behind AS own_line, behind AS "trailing" FROM ec""",
     "comment_context": f"""{_FOUND} SELECT path, start AS "start", code_before, code_after, {_strip('head')} AS code_same_line,

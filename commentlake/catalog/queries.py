@@ -114,6 +114,23 @@ def ts_comments(spark, d):
     return _plain(_files(spark, d, C.SUPPLIERS), TS)
 
 
+def nested_block_comments(spark, d):
+    return _plain(_files(spark, d, C.NESTED_BLOCKS), ("rust",))
+
+
+def js_template_comments(spark, d):
+    return _plain(_files(spark, d, C.NESTED_TEMPLATES), JS)
+
+
+def rule_cases(spark, d):
+    """Every language with the constructs that are special to it."""
+    found = ops.scan_comments(_files(spark, d, C.RULE_CASES), languages=C.CASE_LANGUAGES)
+    return found.select(
+        "path", "comment_id", "start", "kind", "doc", "lang", "text", "inner", "own_line", "jsx_wrapped",
+        "sole_statement", "protected",
+    )
+
+
 def comment_positions(spark, d):
     found = ops.annotate(ops.extract_comments(_files(spark, d, C.EVENTS), JS, context=()).withColumn(
         "following", F.lit(None).cast("string")))
@@ -427,7 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         select_files, select_visible_files, skipped_files, language_of_file, requested_files,
         missing_requests, changed_since_snapshot, changed_files_text,
         page_regions, page_comments, page_comment_counts, sql_comments, js_comments, py_comments,
-        ts_comments, comment_positions, comment_context, bare_doc_lines,
+        ts_comments, nested_block_comments, js_template_comments, rule_cases, comment_positions, comment_context, bare_doc_lines,
         protected_by_reason, license_headers, protection_details, unprotected_when_off,
         style_openers, style_restates, style_score, style_score_sql, style_tags,
         scan_totals, scan_files, first_files, flagged_top, flagged_all, report_json,
