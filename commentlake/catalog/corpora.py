@@ -163,6 +163,15 @@ SELECT concat('deep/', {_str('event_id')}, '.js') AS path,
     event_type, {NL}) AS text, 'javascript' AS lang
 FROM events"""
 
+# Names that listings tend to miss, and files that selection leaves out.
+TREE = f"""
+SELECT concat(CASE p_partkey % 7 WHEN 0 THEN concat('pkg/m', {_str('p_partkey')}, '/__init__.py')
+    WHEN 1 THEN concat('conf/c', {_str('p_partkey')}, '/.env') WHEN 2 THEN concat('.github/', {_str('p_partkey')}, '.yml')
+    WHEN 3 THEN concat('src/_', {_str('p_partkey')}, '.py') WHEN 4 THEN concat('node_modules/', {_str('p_partkey')}, '.js')
+    WHEN 5 THEN concat('src/', {_str('p_partkey')}, '.bin') ELSE concat('src/', {_str('p_partkey')}, '.min.js') END) AS path,
+  {_text("'# '", 'p_name', NL)} AS text
+FROM part"""
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",

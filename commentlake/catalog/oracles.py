@@ -371,6 +371,11 @@ UNION ALL SELECT path, 'c0002', s2 + length(p_type) + 4 + 23, 'block', FALSE, '/
     "py_comments": f"""{_FOUND} SELECT path, concat('c', lpad(CAST(k AS STRING), 4, '0')) AS comment_id, start AS "start",
   'line' AS kind, FALSE AS doc, '#' AS open_tok, text FROM found""",
     "ts_comments": f"""WITH {_SUP} SELECT path, comment_id, start AS "start", kind, doc, open_tok, text FROM sc""",
+    "tree_files": f"""WITH c AS ({C.TREE}) SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha1(text) AS file_sha1 FROM c""",
+    "tree_skipped": f"""WITH c AS ({C.TREE}) SELECT path, CAST(octet_length(encode(text)) AS BIGINT) AS size,
+  CASE WHEN starts_with(path, '.github/') THEN 'hidden_dir' WHEN starts_with(path, 'node_modules/') THEN 'excluded_dir'
+    WHEN ends_with(path, '.min.js') THEN 'generated' ELSE 'unknown_language' END AS why
+FROM c WHERE starts_with(path, '.github/') OR starts_with(path, 'node_modules/') OR ends_with(path, '.min.js') OR ends_with(path, '.bin')""",
     "nested_block_comments": f"""WITH c AS ({C.NESTED_BLOCKS})
 SELECT path, 'c0000' AS comment_id, 11 AS "start", 'block' AS kind, FALSE AS doc, '/*' AS open_tok,
   substr(text, 12, instr(text, ' let b') - 12) AS text FROM c

@@ -20,6 +20,7 @@ from commentlake.plans import report
 from commentlake.session import work_dir
 from commentlake.sources import files as src
 from commentlake.sources import snapshots as snap
+from commentlake.sources import trees
 from commentlake.streaming import incremental
 
 PY, SQL, JS, TS, HTML = ("python",), ("sql",), ("javascript",), ("typescript",), ("html",)
@@ -78,6 +79,22 @@ def changed_files_text(spark, d):
     return out.select("path", F.length("text").alias("n_chars"))
 
 
+# ---- trees --------------------------------------------------------------------
+def _tree(spark, d) -> DataFrame:
+    """Files of every name, written as a directory tree and read back."""
+    folder = work_dir(spark, "tree")
+    trees.write_files(_files(spark, d, C.TREE), folder)
+    return src.read_tree(spark, folder)
+
+
+def tree_files(spark, d):
+    return src.decode(_tree(spark, d)).select("path", "size", "file_sha1")
+
+
+def tree_skipped(spark, d):
+    return src.skipped_files(_tree(spark, d), skip_hidden=True)
+
+
 # ---- extraction ---------------------------------------------------------------
 def page_regions(spark, d):
     return ops.file_regions(_files(spark, d, C.PAGES))
@@ -442,7 +459,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         select_files, select_visible_files, skipped_files, language_of_file, requested_files,
-        missing_requests, changed_since_snapshot, changed_files_text,
+        missing_requests, tree_files, tree_skipped, changed_since_snapshot, changed_files_text,
         page_regions, page_comments, page_comment_counts, sql_comments, js_comments, py_comments,
         ts_comments, nested_block_comments, js_template_comments, rule_cases, comment_positions, comment_context, bare_doc_lines,
         protected_by_reason, license_headers, protection_details, unprotected_when_off,

@@ -19,27 +19,29 @@ from commentlake.dims import (
     NAME_PREFIXES,
 )
 from commentlake.functions.hof import rlike, strings
+from commentlake.sources.trees import list_tree, read_files
 
 
 def read_tree(spark: SparkSession, directory: str, glob: str | None = None,
               max_bytes: int | None = None) -> DataFrame:
     """Files below a directory as (path, size, content), paths relative to it.
 
-    A size limit reaches the file listing, so larger files are never opened;
-    without one every file is read, and ``skipped_files`` tells what rules drop.
-    Spark's file listing leaves out names that start with ``_`` or ``.``; hold a
-    corpus that needs them (``__init__.py``, ``.env``) as a table of path and text.
+    Every name is seen. ``glob`` (of the file's name) and a size limit apply to the
+    listing, so files that they leave out are never opened; ``skipped_files`` over
+    ``list_tree`` tells what rules drop.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    listing = list_tree(spark, directory)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(directory)
+        listing = listing.where(rlike(file_name(F.col("path")), _glob_pattern(glob)))
     if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    root = directory.rstrip("/") + "/"
-    return files.select(
-        F.substring_index("path", root, -1).alias("path"), F.col("length").alias("size"), "content"
-    )
+        listing = listing.where(F.col("size") <= max_bytes)
+    return read_files(spark, directory, listing)
+
+
+def _glob_pattern(glob: str) -> str:
+    """A name pattern with ``*``, ``?`` and ``[...]`` for Java."""
+    out = "".join({"*": "[^/]*", "?": "[^/]", "[": "[", "]": "]", "-": "-"}.get(c, c if c.isalnum() or c == "_" else "\\" + c) for c in glob)
+    return rf"\A{out}\z"
 
 
 def spread(files: DataFrame) -> DataFrame:
@@ -120,37 +122,47 @@ def is_kept(path: Column, size: Column, lang: Column, excluded_dirs: Sequence[st
     )
 
 
-def is_hidden(path: Column) -> Column:
-    """Below a directory whose name starts with a dot."""
-    return rlike(path, r"(?:^|/)\.[^/]*/")
+def is_hidden(path: Column, base: str = "") -> Column:
+    """Below a directory whose name starts with a dot, of those below ``base``: what is asked for by name is not hidden."""
+    prefix = base.strip("/") + "/" if base.strip("/") else ""
+    below = F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path) if prefix else path
+    return rlike(below, r"(?:^|/)\.[^/]*/")
 
 
 def select_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
                  max_bytes: int | None = None, skip_hidden: bool = False,
-                 unique_paths: bool = False) -> DataFrame:
+                 unique_paths: bool = False, base: str = "") -> DataFrame:
     """Distinct files the jobs work on, with their language.
 
-    ``skip_hidden`` applies to files found by walking a tree, not to listed ones.
+    ``skip_hidden`` applies to files found by walking a tree, not to listed ones, and
+    to directories below ``base`` only.
     Removing repeated paths moves every text; say ``unique_paths`` for a listing
     or a table keyed by path, and selection stays in the scan stage.
     """
-    found = with_language(files if not skip_hidden else files.where(~is_hidden(F.col("path"))))
+    found = with_language(files if not skip_hidden else files.where(~is_hidden(F.col("path"), base)))
     kept = found.where(is_kept(F.col("path"), F.col("size"), F.col("lang"), excluded_dirs, max_bytes))
     return kept if unique_paths else kept.dropDuplicates(["path"])
 
 
 def skipped_files(files: DataFrame, excluded_dirs: Sequence[str] = EXCLUDED_DIRS,
-                  max_bytes: int | None = None) -> DataFrame:
-    """Files left out and the first rule that said so; a corpus count is one agg away."""
-    found = with_language(files.select("path", "size")).dropDuplicates(["path"])
+                  max_bytes: int | None = None, skip_hidden: bool = False, base: str = "") -> DataFrame:
+    """Files left out and the first rule that said so; a corpus count is one agg away.
+
+    Where ``files`` has ``content``, files that are no UTF-8 count too.
+    """
+    bad = ~F.is_valid_utf8(F.col("content").cast("string")) if "content" in files.columns else F.lit(False)
+    found = with_language(files.select("path", "size", bad.alias("_bad"))).dropDuplicates(["path"])
     suffixes = "|".join(s.replace(".", r"\.") for s in EXCLUDED_SUFFIXES)
+    hidden = is_hidden(F.col("path"), base) if skip_hidden else F.lit(False)
     why = (
-        F.when(F.arrays_overlap(F.split("path", "/"), strings(excluded_dirs)), F.lit("excluded_dir"))
+        F.when(hidden, F.lit("hidden_dir"))
+        .when(F.arrays_overlap(F.split("path", "/"), strings(excluded_dirs)), F.lit("excluded_dir"))
         .when(rlike(F.col("path"), f"(?:{suffixes})$"), F.lit("generated"))
         .when(F.col("lang").isNull(), F.lit("unknown_language"))
     )
     if max_bytes is not None:
         why = why.when(F.col("size") > max_bytes, F.lit("too_large"))
+    why = why.when(F.col("_bad"), F.lit("not_utf8"))
     return found.withColumn("why", why).where(F.col("why").isNotNull()).select("path", "size", "why")
 
 

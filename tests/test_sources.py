@@ -9,6 +9,7 @@ from commentlake.operators.edits import Options, clean_files
 from commentlake.plans import report
 from commentlake.sources import files as src
 from commentlake.sources import snapshots as snap
+from commentlake.sources import trees
 from commentlake.streaming import incremental
 
 
@@ -42,8 +43,35 @@ def test_tree_is_read_selected_and_decoded(spark, tmp_path):
     assert {r.path for r in everything.collect()} == {*got, "lib/big.py", "lib/bad.py"}
     left_out = src.skipped_files(src.read_tree(spark, root), max_bytes=1_000_000)
     assert ("lib/big.py", "too_large") in {(r.path, r.why) for r in left_out.collect()}
-    plan = src.read_tree(spark, root, max_bytes=1_000_000)._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "LessThanOrEqual(length,1000000)" in plan
+    assert "lib/big.py" not in {r.path for r in src.read_tree(spark, root, max_bytes=1_000_000).select("path").collect()}
+
+
+def test_every_name_is_listed_and_every_file_accounted_for(spark, tmp_path):
+    names = ["__init__.py", "pkg/__init__.py", ".env", ".github/ci.yml", "_a/_b.py", "a b/ü.py", "deep/1/2/3/x.py", "empty.py", ".git/config", "x.bin"]
+    tree(tmp_path, {**dict.fromkeys(names, "# x\n"), "empty.py": "", "pkg/bad.py": b"# \xff\xfe\n"})
+    (tmp_path / "nothing").mkdir()
+    listing = trees.list_tree(spark, str(tmp_path))
+    assert {(r.path, r.size) for r in listing.collect()} == {(n, 0 if n == "empty.py" else 4) for n in names} | {("pkg/bad.py", 5)}
+    found = src.read_tree(spark, str(tmp_path))
+    assert {r.path for r in found.collect()} == {*names, "pkg/bad.py"}
+    kept = {r.path for r in src.decode(src.select_files(found, skip_hidden=True)).collect()}
+    why = {r.path: r.why for r in src.skipped_files(found, skip_hidden=True).collect()}
+    assert kept.isdisjoint(why) and {*kept, *why} == {*names, "pkg/bad.py"}
+    assert why == {".github/ci.yml": "hidden_dir", ".git/config": "hidden_dir", "x.bin": "unknown_language", "pkg/bad.py": "not_utf8"}
+    assert {r.path for r in src.read_tree(spark, str(tmp_path), glob="_*.py").collect()} == {"__init__.py", "pkg/__init__.py", "_a/_b.py"}
+    asked = src.select_files(found, skip_hidden=True, base=".github/")
+    assert ".github/ci.yml" in {r.path for r in asked.collect()}
+    assert trees.list_tree(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_files_are_written_whole_and_read_back(spark, tmp_path):
+    rows = [(f"d{k % 3}/.x{k}.py", "é\n" * k) for k in range(20)] + [("gone.py", None)]
+    root = str(tmp_path / "out")
+    for _ in range(2):  # writing again changes nothing
+        written = trees.write_files(spark.createDataFrame(rows, "path string, text string"), root)
+        assert written.count() == 20
+    back = {r.path: r.content.decode() for r in src.read_tree(spark, root).collect()}
+    assert back == {p: t for p, t in rows if t is not None}
 
 
 def test_path_filter_reaches_the_parquet_scan(spark, files, tmp_path):
