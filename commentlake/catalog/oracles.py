@@ -376,6 +376,20 @@ UNION ALL SELECT path, 'c0002', s2 + length(p_type) + 4 + 23, 'block', FALSE, '/
   CASE WHEN starts_with(path, '.github/') THEN 'hidden_dir' WHEN starts_with(path, 'node_modules/') THEN 'excluded_dir'
     WHEN ends_with(path, '.min.js') THEN 'generated' ELSE 'unknown_language' END AS why
 FROM c WHERE starts_with(path, '.github/') OR starts_with(path, 'node_modules/') OR ends_with(path, '.min.js') OR ends_with(path, '.bin')""",
+    "verify_proved": f"""WITH c AS ({C.NESTED_TEMPLATES})
+SELECT path, sha1(concat(replace(regexp_replace(text, ' /[*] deep [0-9]+ [*]/', ''), regexp_extract(text, '; // [^`]*$'), ';'), chr(10))) AS after_sha1,
+  TRUE AS reversible, TRUE AS confirmed FROM c""",
+    "undo_log": f"""WITH c AS ({C.NESTED_TEMPLATES}), t AS (SELECT *, substr(regexp_extract(rtrim(text, chr(10)), '; // [^`]*$'), 2) AS tail FROM c)
+SELECT path, instr(text, ' /* deep') - 1 AS "at", regexp_extract(text, ' /[*] deep [0-9]+ [*]/') AS removed, '' AS repl FROM t
+UNION ALL SELECT path, length(text) - 1 - length(tail), tail, '' FROM t""",
+    "published_runs": f"""WITH p AS ({C.PARTS}), b AS (SELECT {_PART_PATH} AS path, {_PART_BODY} AS body FROM part)
+SELECT CAST(1 AS BIGINT) AS number, '20240101-000000' AS run_id, count(*) AS files, CAST(sum(length(body)) AS BIGINT) AS characters FROM b
+UNION ALL SELECT 2, '20240102-000000', count(*), CAST(sum(length(body)) AS BIGINT) FROM b JOIN p USING (path) WHERE length(text) % 2 = 1""",
+    "published_files": f"""WITH p AS ({C.PARTS}), b AS (SELECT {_PART_PATH} AS path, {_PART_BODY} AS body FROM part)
+SELECT '20240101-000000' AS run_id, path, sha1(body) AS sha1 FROM b
+UNION ALL SELECT '20240102-000000', path, sha1(body) FROM b JOIN p USING (path) WHERE length(text) % 2 = 1""",
+    "restore_published": f"""WITH p AS ({C.PARTS}), b AS (SELECT {_PART_PATH} AS path, {_PART_BODY} AS body FROM part)
+SELECT path, sha1(CASE WHEN length(text) % 2 = 1 THEN text ELSE body END) AS sha1, length(text) % 2 = 1 AS restored FROM b JOIN p USING (path)""",
     "nested_block_comments": f"""WITH c AS ({C.NESTED_BLOCKS})
 SELECT path, 'c0000' AS comment_id, 11 AS "start", 'block' AS kind, FALSE AS doc, '/*' AS open_tok,
   substr(text, 12, instr(text, ' let b') - 12) AS text FROM c

@@ -351,6 +351,18 @@ def verify_tampered(spark, d):
     return ed.verify(applied, SQL).select("path", "ok", "first_difference")
 
 
+def verify_proved(spark, d):
+    """Cleaned files whose edits are undone byte by byte and confirmed by a second reading."""
+    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS)))
+    proved = ed.prove(applied, JS)
+    return proved.select("path", F.sha1(F.encode("after", "UTF-8")).alias("after_sha1"), "reversible", "confirmed")
+
+
+def undo_log(spark, d):
+    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS)))
+    return ed.undo_log(applied)
+
+
 def change_summary(spark, d):
     return report.change_summary(ed.clean_files(_files(spark, d, C.DOCUMENTS), "delete", languages=PY))
 
@@ -437,6 +449,32 @@ def restore_named(spark, d):
     return out.select("path", F.sha1(F.encode("text", "UTF-8")).alias("sha1"), "restored")
 
 
+def _published(spark, d) -> str:
+    """A store of two runs: the parts without comments, then half of them again."""
+    cleaned = ed.clean_files(_files(spark, d, C.PARTS), "delete", languages=SQL)
+    store = work_dir(spark, "store")
+    snap.publish(cleaned, store, "20240101-000000")
+    snap.publish(cleaned, store, "20240102-000000", failed=cleaned.where(F.length("before") % 2 == 0).select("path"))
+    return store
+
+
+def published_runs(spark, d):
+    return snap.runs(spark, _published(spark, d))
+
+
+def published_files(spark, d):
+    out = snap.read_store(spark, _published(spark, d), snap.CLEANED)
+    return out.select("run_id", "path", F.sha1(F.encode("text", "UTF-8")).alias("sha1"))
+
+
+def restore_published(spark, d):
+    """Published files go back to the originals of the latest run that has them."""
+    store = _published(spark, d)
+    now = snap.read_store(spark, store, snap.CLEANED).where("run_id = '20240101-000000'").select("path", "text")
+    out = snap.restore(now, snap.read_store(spark, store))
+    return out.select("path", F.sha1(F.encode("text", "UTF-8")).alias("sha1"), "restored")
+
+
 def rollback_selected(spark, d):
     cleaned = ed.clean_files(_files(spark, d, C.PARTS), "delete", languages=SQL)
     failed = _files(spark, d, C.PARTS).where(F.length("text") % 3 == 0).select("path")
@@ -468,9 +506,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         clean_prose, fit_budget, truncate_text, banner_groups, dedupe_nearby,
         strip_comments, canonical_code, canonical_pages, delete_comments, delete_sql_comments,
         delete_page_comments, delete_flagged, reduce_comments, reduce_documents, shrink_docs,
-        delete_docs, edit_log, verify_unchanged, verify_tampered, change_summary, change_totals,
+        delete_docs, edit_log, verify_proved, undo_log, verify_unchanged, verify_tampered, change_summary, change_totals,
         review_queue, review_edits, review_rejects, review_apply,
-        list_snapshots, restore_latest, restore_named, rollback_selected, stream_comments,
+        list_snapshots, published_runs, published_files, restore_published, restore_latest, restore_named, rollback_selected, stream_comments,
     )
 }
 

@@ -267,6 +267,66 @@ SWIFT = Automaton(
 AUTOMATA = {"javascript": JAVASCRIPT, "typescript": JAVASCRIPT, "rust": RUST, "swift": SWIFT}
 
 
+# ---- a second opinion ---------------------------------------------------------------
+# The same modes without nesting, for languages that patterns alone lex; z is a character
+# or string in single quotes, g a raw string between ticks.
+def _flat_rules(line: bool, tick: bool) -> dict[str, Rule]:
+    code = {SLASH_STAR: "o", DOUBLE: "d", TRIPLE: "e", SINGLE: "z"} | ({SLASH_SLASH: "l"} if line else {}) | ({TICK: "g"} if tick else {})
+    rules = _nested_rules()
+    return {k: rules[k] for k in ("l" if line else "") + "DefuvwU"} | {
+        "c": lambda c: code.get(c, "c"),
+        "o": lambda c: "b",
+        "b": lambda c: "t" if c == STAR else "b",
+        "t": lambda c: "t" if c == STAR else "c" if c in SLASHES else "b",
+        "d": _quoted("d", "D", (DOUBLE, TRIPLE, NEWLINE), "c"),
+        "z": _quoted("z", "Z", (SINGLE, NEWLINE), "c"),
+        "Z": lambda c: "z",
+        "g": lambda c: "c" if c == TICK else "g",
+    }
+
+
+def _flat(line: bool = True, triple: bool = False, tick: bool = False) -> Automaton:
+    base = _nested_class(characters=False, triple=triple)
+
+    def classify(atom: Column, seen: Column) -> Column:
+        return F.when(atom == "'", F.lit(SINGLE)).when(atom == "`", F.lit(TICK)).otherwise(base(atom, seen))
+
+    return Automaton(
+        atoms=r"[/\"](?=(\"\"|[/*])?)|[*\\\n'`]|[^/\"*\\\n'`]++", classify=classify, rules=_flat_rules(line, tick),
+        start="c", inside="obt", opening="ol",
+        effects={"": lambda m, a: m},  # nothing to remember
+    )
+
+
+#: Readers of a whole file that share nothing with the lexer's patterns.
+SECOND_OPINIONS = AUTOMATA | {
+    "css": _flat(line=False), "scss": _flat(), "c": _flat(), "go": _flat(tick=True),
+    **dict.fromkeys(("java", "kotlin", "scala", "csharp"), _flat(triple=True)),
+}
+
+
+def comment_spans(text: Column, auto: Automaton) -> Column:
+    """start * 2^32 + end of every comment, as the automaton alone reads the whole text."""
+
+    # Code right after a comment may begin with slashes where those open nothing.
+    opens = (lambda p: p.startswith("/*") | p.startswith("//")) if "l" in auto.rules else lambda p: p.startswith("/*")
+
+    def spans(parts: Column) -> Column:
+        def placed(starts: Column) -> Column:
+            found = F.transform(
+                parts,
+                lambda p, i: F.when(
+                    opens(p),
+                    F.shiftleft(F.get(starts, i).cast("bigint"), 32) + F.get(starts, i) + F.length(p),
+                ),
+            )
+            return F.array_compact(found)
+
+        return let(prefix(F.transform(parts, F.length), F.lit(0), "int", lambda a, n: a + n), placed)
+
+    return let(pieces(text, auto), spans)
+
+
 # ---- the fold ----------------------------------------------------------------------
 def pieces(text: Column, auto: Automaton) -> Column:
     """Comments and the code between them, in order; they tile ``text``."""

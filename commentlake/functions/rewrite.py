@@ -236,3 +236,50 @@ def first_difference(a: Column, b: Column) -> Column:
         return let(at, told)
 
     return let(F.split(a, "\n"), lambda x: let(F.split(b, "\n"), lambda y: compare(x, y)))
+
+
+# ---- proof of an edit --------------------------------------------------------------
+def undo_log(text: Column, lines: Column, cuts: Column) -> Column:
+    """array<struct<at, removed, repl>>: what each cut took from which offset, and what it put there."""
+
+    def log(starts: Column) -> Column:
+        def offset(p: Column) -> Column:
+            return F.coalesce(F.get(starts, line_at(p)) + col_at(p), F.length(text))
+
+        return F.transform(
+            cuts,
+            lambda x: let(
+                F.struct(offset(x["a"]).alias("a"), offset(x["b"]).alias("b"), x["repl"].alias("repl")),
+                lambda c: F.struct(
+                    c["a"].alias("at"), F.substring(text, c["a"] + 1, c["b"] - c["a"]).alias("removed"), c["repl"].alias("repl")
+                ),
+            ),
+        )
+
+    sizes = F.transform(lines, lambda x: F.length(x) + 1)
+    return let(prefix(sizes, F.lit(0), "int", lambda a, n: a + n), log)
+
+
+def undone(after: Column, log: Column) -> Column:
+    """The text before the edits, from the text after them and the log alone; null if the two do not fit.
+
+    ``moved`` is how far the edits up to an entry have shifted the text.
+    """
+
+    def build(moved: Column) -> Column:
+        def place_of(i: Column) -> Column:
+            return F.get(log, i)["at"] + F.get(moved, i)
+
+        def piece(x: Column, i: Column) -> Column:
+            since = F.when(i == 0, F.lit(0)).otherwise(place_of(i - 1) + F.length(F.get(log, i - 1)["repl"]))
+            return F.concat(F.substring(after, since + 1, place_of(i) - since), x["removed"])
+
+        fits = F.forall(
+            F.transform(log, lambda x, i: F.substring(after, place_of(i) + 1, F.length(x["repl"])) == x["repl"]), lambda ok: ok
+        )
+        last = F.size(log) - 1
+        tail = F.substring(after, place_of(last) + F.length(F.get(log, last)["repl"]) + 1, F.length(after))
+        return F.when(fits, F.concat(F.array_join(F.transform(log, piece), ""), tail))
+
+    shift = prefix(log, F.lit(0), "int", lambda a, x: a + F.length(x["repl"]) - F.length(x["removed"]))
+    return F.when(F.size(log) == 0, after).otherwise(let(shift, build))

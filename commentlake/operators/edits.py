@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commentlake.dims import BRACE_WRAPPED
-from commentlake.functions import lexer, rewrite, shorten
+from commentlake.functions import lexer, nesting, rewrite, shorten
 from commentlake.functions.hof import is_blank, let, pinned, prefix
 from commentlake.functions.protect import API_DOC, Protections
 from commentlake.functions.text import count_lines
@@ -293,7 +293,41 @@ def apply_edits(planned: DataFrame) -> DataFrame:
         "after",
         F.when(changed, rewrite.stitch(F.col("_lines"), F.col("_cuts"))).otherwise(F.col("text")),
     )
-    return out.drop("_spans", "_whole", "_cuts")
+    return out.drop("_spans", "_whole")
+
+
+def undo_log(applied: DataFrame) -> DataFrame:
+    """One row per cut: path, at, removed, repl. With ``after`` it gives the file back, byte by byte."""
+    log = rewrite.undo_log(F.col("text"), F.col("_lines"), F.col("_cuts"))
+    rows = applied.select("path", F.explode_outer(log).alias("x")).where(F.col("x").isNotNull())
+    return rows.select("path", "x.at", "x.removed", "x.repl")
+
+
+def prove(applied: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """Add ``reversible`` and ``confirmed``, each apart from the lexer that planned the edits.
+
+    ``reversible``: the text after the edits and the log of what they removed give the
+    text before, byte by byte. ``confirmed``: every edited comment is one for an
+    automaton that reads the whole file without the lexer's patterns; null where there
+    is none for the language. Files without edits are not read.
+    """
+    log = rewrite.undo_log(F.col("text"), F.col("_lines"), F.col("_cuts"))
+    df = applied.withColumn("_log", pinned(F.when(F.size("_cuts") > 0, log)))
+    back = F.coalesce(rewrite.undone(F.col("after"), F.col("_log")) == F.col("text"), F.lit(False))
+    edited = F.transform(
+        F.filter("comments", lambda c: c["action"].isNotNull()),
+        lambda c: F.shiftleft(c["start"].cast("bigint"), 32) + c["end"],
+    )
+    confirmed = None
+    for auto in dict.fromkeys(nesting.SECOND_OPINIONS[n] for n in languages if n in nesting.SECOND_OPINIONS):
+        names = [n for n in languages if nesting.SECOND_OPINIONS.get(n) is auto]
+        same = F.size(F.array_except(edited, nesting.comment_spans(F.col("text"), auto))) == 0
+        hit = F.col("lang").isin(*names)
+        confirmed = F.when(hit, same) if confirmed is None else confirmed.when(hit, same)
+    untouched = F.col("_log").isNull()
+    return df.withColumn("reversible", pinned(untouched | back)).withColumn(
+        "confirmed", pinned(F.when(untouched, F.lit(True)).otherwise(F.lit(None).cast("boolean") if confirmed is None else confirmed))
+    ).drop("_log")
 
 
 def verify(applied: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
@@ -322,14 +356,28 @@ PLANS = {"delete": plan_delete, "reduce": plan_reduce}
 
 def clean_files(files: DataFrame, mode: str = "delete", opts: Options = Options(),
                 protections: Protections = Protections(),
-                languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+                languages: Collection[str] = lexer.LANGUAGES, proof: bool = False) -> DataFrame:
     """Plan, apply and verify in one narrow pass over the files.
 
     Returns path, lang, before, after, ok, first_difference and the per-file
-    counts. ``after`` equals ``before`` where nothing changed.
+    counts. ``after`` equals ``before`` where nothing changed. With ``proof`` a file is
+    ok only if it is also proved (``prove``); that reads each changed file once more.
     """
     planned = PLANS[mode](classified_arrays(files, protections, languages), opts)
-    return _summarised(verify(apply_edits(planned), languages))
+    return _summarised(_verified(apply_edits(planned), languages, proof))
+
+
+def _verified(applied: DataFrame, languages: Collection[str], proof: bool) -> DataFrame:
+    out = verify(applied, languages)
+    if not proof:
+        return out
+    out = prove(out, languages)
+    failed = F.when(~F.col("reversible"), F.lit("the edits cannot be undone")).when(
+        ~F.col("confirmed"), F.lit("an edited region is no comment")
+    )
+    return out.withColumn("first_difference", F.coalesce("first_difference", failed)).withColumn(
+        "ok", F.col("ok") & failed.isNull()
+    )
 
 
 def _summarised(verified: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Protection, scoring, planning and rewriting on small texts of their own."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from commentlake.functions.protect import Protections
 from commentlake.operators import comments as ops
@@ -177,3 +178,56 @@ def test_required_literals_do_not_lose_a_directive():
     assert required_literal(r"^\s*//\s*\+build") == "+build"
     held = [any(x in p.replace("\\", "").lower() for x in DIRECTIVE_LITERALS) for p in DIRECTIVES]
     assert all(held)
+
+
+def _planted(spark, text, lang, region, action="delete"):
+    """A plan that takes a region of code for a comment."""
+    from commentlake.operators import edits as ed
+
+    frame = spark.createDataFrame([("a", text, lang)], "path string, text string, lang string")
+    planned = ed.plan_delete(ops.classified_arrays(frame, languages=(lang,)))
+    start = text.index(region)
+    moved = F.transform(
+        "comments",
+        lambda c: c.withField("start", F.lit(start)).withField("end", F.lit(start + len(region))).withField("text", F.lit(region))
+        .withField("line", F.lit(text.count("\n", 0, start) + 1)).withField("col", F.lit(start - text.rfind("\n", 0, start) - 1))
+        .withField("breaks", F.lit(0)).withField("end_line", F.lit(text.count("\n", 0, start) + 1)),
+    )
+    return ed.prove(ed.apply_edits(planned.withColumn("comments", moved)), (lang,)).first()
+
+
+def test_a_planted_region_is_refused(spark):
+    js = "let u = `${ f(1) } // not a comment`; // real\n"
+    honest = _planted(spark, js, "javascript", "// real")
+    assert honest.reversible and honest.confirmed
+    wrong = _planted(spark, js, "javascript", "// not a comment")
+    assert wrong.reversible and wrong.confirmed is False
+    for lang, text, region in (("java", 'String s = "/* x */"; // y\n', "/* x */"), ("go", "p := `// x`\n// y\n", "// x"),
+                               ("rust", 'let s = r#"// x"#; // y\n', "// x"), ("css", "a { b: '/* x */' } /* y */\n", "/* x */")):
+        assert _planted(spark, text, lang, region).confirmed is False
+
+
+def test_edits_can_be_undone_byte_by_byte(spark):
+    from commentlake.operators import edits as ed
+
+    texts = [("a.js", "// one\nlet é = 1; /* two */ f(); /* three\n four */\n\n\n// five\n\ng();\n", "javascript"),
+             ("b.js", "x();\n", "javascript"), ("c.py", "# a\n# b\nx = 1  # c\n", "python")]
+    frame = spark.createDataFrame(texts, "path string, text string, lang string")
+    languages = ("javascript", "python")
+    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(frame, languages=languages)))
+    log = {}
+    for r in ed.undo_log(applied).collect():
+        log.setdefault(r.path, []).append((r.at, r.removed, r.repl))
+    for r in applied.select("path", "after").collect():
+        before = {p: t for p, t, _ in texts}[r.path]
+        back = r.after
+        for start, removed, repl in sorted(log.get(r.path, [])):
+            assert back[start : start + len(repl)] == repl
+            back = back[:start] + removed + back[start + len(repl):]
+        assert back == before
+    proved = {r.path: (r.reversible, r.confirmed) for r in ed.prove(applied, languages).collect()}
+    assert proved == {"a.js": (True, True), "b.js": (True, True), "c.py": (True, None)}
+    tampered = applied.withColumn("after", F.concat("after", F.lit("!")))
+    assert {r.path: r.reversible for r in ed.prove(tampered, languages).collect()} == {"a.js": False, "b.js": True, "c.py": False}
+    clean = ed.clean_files(frame, "delete", languages=languages, proof=True).collect()
+    assert all(r.ok for r in clean if r.path != "a.js")
