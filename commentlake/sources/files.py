@@ -44,19 +44,21 @@ def _glob_pattern(glob: str) -> str:
     return rf"\A{out}\z"
 
 
+#: Stored bytes that one task of a spread table takes: lexing and classifying them is
+#: seconds to a minute of work, where a scan's own split would be many minutes.
+TASK_BYTES = 1 << 20
+
+
 def spread(files: DataFrame) -> DataFrame:
-    """Give a small input to all cores; leave a large one as it is scanned.
+    """Deal a table to tasks of about ``TASK_BYTES``, one per core at least.
 
-    A table of one row group is read by one task, however many cores there are,
-    and lexing is bound by the processor. Only inputs that cannot fill the cores
-    with splits of their own are shuffled, so what moves is bounded by the number
-    of cores times the split size; a large corpus is never moved.
+    A row group is read by one task, however many cores there are, and lexing is bound
+    by the processor: what a scan gives one task is far too much work. One round-robin
+    exchange moves the texts, which costs little beside reading them as code.
     """
-    spark = files.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    cores = files.sparkSession.sparkContext.defaultParallelism
     size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return files.repartition(cores) if size < cores * split else files
+    return files.repartition(max(cores, -(-size // TASK_BYTES)))
 
 
 def decode(files: DataFrame) -> DataFrame:
