@@ -111,7 +111,7 @@ def page_comment_counts(spark, d):
 
 
 def _plain(files: DataFrame, languages) -> DataFrame:
-    found = ops.extract_comments(files, languages, context=())
+    found = ops.list_comments(files, languages)
     return found.select("path", "comment_id", "start", "kind", "doc", "open_tok", "text")
 
 

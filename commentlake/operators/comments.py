@@ -387,6 +387,43 @@ def extract_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUA
     )
 
 
+def _found(i: Column) -> Column:
+    """struct of what the comment at token ``i`` says by itself."""
+    t = F.get(F.col("_tok"), i)
+    body, lang = t["tok"], t["lang"]
+    start = lexer.offset_of(F.get(F.col("_pos"), i))
+    kind = text.kind_of(t["kind"], body, lang)
+    return F.struct(
+        start.alias("start"), (start + F.length(body)).alias("end"), kind.alias("kind"),
+        text.is_doc(kind, body, lang).alias("doc"), lang.alias("lang"), body.alias("text"),
+    )
+
+
+def _layer_mark(c: Get) -> Mapping[str, Column]:
+    return {"open_tok": text.open_mark(c("kind"), c("doc"), c("text"))}
+
+
+FOUND = ("start", "end", "kind", "doc", "lang", "text")
+
+
+def list_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """One row per comment like ``extract_comments``, with nothing about its lines.
+
+    What a lambda computes is never pruned, so a job that wants no lines, columns or
+    neighbours asks for none here: path, comment_id, FOUND and open_tok.
+    """
+    out = lex(files, languages)
+    places = F.filter(
+        F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
+    )
+    out = out.withColumn("comments", pinned(F.transform(places, _found)))
+    out, _ = add_fields(out, list(FOUND), _layer_mark)
+    rows = out.select("path", F.posexplode_outer("comments").alias("_n", "c"))
+    return rows.where(F.col("_n").isNotNull()).select(
+        "path", F.format_string("c%04d", "_n").alias("comment_id"), "c.*"
+    )
+
+
 def annotate(comments: DataFrame) -> DataFrame:
     """Bare text, own-line and sole-statement flags."""
     return _apply(comments, DESCRIBE)

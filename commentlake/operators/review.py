@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commentlake.functions import lexer, shorten
 from commentlake.functions.hof import is_blank, let, pinned, rlike, strip, sub
 from commentlake.functions.protect import API_DOC, Protections
-from commentlake.operators.comments import annotate, classified_arrays, classify, extract_comments
+from commentlake.operators.comments import annotate, classified_arrays, classify, extract_comments, list_comments
 from commentlake.operators.edits import (
     DELETE,
     REPLACE,
@@ -163,9 +163,7 @@ def judge_reviews(reviews: DataFrame, files: DataFrame,
     )
     # Only fresh files are lexed again, and of their comments only id and hash travel.
     fresh = state.where(F.col("_file_reason").isNull()).select("path")
-    known = extract_comments(
-        files.join(fresh, "path", "left_semi"), languages, context=()
-    ).select("path", "comment_id", F.sha1(F.encode("text", "UTF-8")).alias("_sha"))
+    known = list_comments(files.join(fresh, "path", "left_semi"), languages).select("path", "comment_id", F.sha1(F.encode("text", "UTF-8")).alias("_sha"))
     answered = asked.where(F.col("new_text").isNotNull())
     # Of two answers to one comment the first counts.
     once = answered.groupBy("path", "comment_id").agg(
