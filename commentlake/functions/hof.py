@@ -96,11 +96,16 @@ def sub(c: Column, pattern: str, by: str = "") -> Column:
     return F.regexp_replace(c, F.lit(pattern), F.lit(by))
 
 
-def any_of(patterns) -> str:
-    """One pattern for many; anchored ones are left at the first character."""
+def any_of(patterns, heads: str = "") -> str:
+    """One pattern for many; anchored ones are left at the first character.
+
+    ``heads`` is a pattern of what the others begin with: where it fails they are not tried.
+    """
     patterns = list(patterns)
     at_start = [p for p in patterns if p.startswith("^")]
     anywhere = [p for p in patterns if not p.startswith("^")]
+    if anywhere and heads:
+        anywhere = [f"(?={heads})(?:{'|'.join(anywhere)})"]
     return "(?iU)" + "|".join([rf"\A(?:{'|'.join(at_start)})", *anywhere])
 
 

@@ -97,21 +97,38 @@ DIRECTIVE_LITERALS = [
 ]
 
 
+# Pieces that many of them share, and the others: one of these is in every text that holds one of those.
+_SHARED = (":", "@", "lint")
+DIRECTIVE_PIECES = [*_SHARED, *(x for x in DIRECTIVE_LITERALS if not any(y in x for y in _SHARED))]
+
+
+def _holds(low: Column, pieces) -> Column:
+    return F.exists(strings(pieces), lambda x: F.contains(low, x))
+
+
 def is_directive(text: Column) -> Column:
     """Substring search rules out almost every comment before the regular
     expression with its eighty alternatives is tried at every character."""
-    possible = let(
-        F.lower(text),
-        lambda low: F.exists(strings(DIRECTIVE_LITERALS), lambda x: F.contains(low, x)),
-    )
+    possible = let(F.lower(text), lambda low: _holds(low, DIRECTIVE_PIECES) & _holds(low, DIRECTIVE_LITERALS))
     return possible & rlike(text, DIRECTIVE_PATTERN)
 
 
 LICENSE_PATTERN = "(?i)" + LICENSE
+LICENSE_PIECES = ("copyright", "licen", "(c)", "spdx-", "all rights", "@preserve", "gnu general")
 MARKER_PATTERN = rf"\b({'|'.join(MARKERS)})\b"
 ANY_CASE_PATTERN = rf"(?i)\b({'|'.join(ANY_CASE_MARKERS)})\s*[:(\[]"
 
 
+# Each search is tried only on a text that holds what all its matches hold.
+def is_header(text: Column) -> Column:
+    return let(F.lower(text), lambda low: _holds(low, LICENSE_PIECES)) & rlike(text, LICENSE_PATTERN)
+
+
+def is_marked(text: Column) -> Column:
+    strong = rlike(text, "[A-Z][A-Z][A-Z]") & rlike(text, MARKER_PATTERN)
+    return strong | (rlike(text, r"[:(\[]") & rlike(text, ANY_CASE_PATTERN))
+
+
 @dataclass(frozen=True)
 class Protections:
     """Which classes of comments are kept; all by default."""
@@ -132,9 +149,9 @@ def reason(text: Column, line: Column, kind: Column, doc: Column, prot: Protecti
             (is_directive(text), DIRECTIVE),
         ]
     if prot.headers:
-        rules.append(((line <= HEADER_LINES) & rlike(text, LICENSE_PATTERN), HEADER))
+        rules.append(((line <= HEADER_LINES) & is_header(text), HEADER))
     if prot.markers:
-        rules.append((rlike(text, MARKER_PATTERN) | rlike(text, ANY_CASE_PATTERN), MARKER))
+        rules.append((is_marked(text), MARKER))
     if prot.docs:
         rules.append((doc | (kind == "docstring"), API_DOC))
     out = F.lit(None).cast("string")

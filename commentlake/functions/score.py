@@ -72,9 +72,12 @@ KEYWORD_WORDS = {
     "new": ("create", "creates", "crée", "cree", "instantiate"),
 }
 
-WORD = r"[A-Za-zÀ-ſ]+"
+LETTER = "A-Za-zÀ-ſ"
+WORD = f"[{LETTER}]+"
+WORDY = 25  # words beyond which a comment is long-winded
+MANY_WORDS = rf"\A[^{LETTER}]*+(?:[{LETTER}]++[^{LETTER}]++){{{WORDY}}}[{LETTER}]"
 IDENTIFIER = r"[A-Za-z_$](?:[\w$]++|[\p{L}\p{N}]++)*+"
-CAMEL_CUT = r"([a-z0-9])(?=[A-Z])"
+NAME_CUT = r"_|(?=[A-Z])(?<=[a-z0-9])"
 
 FLAGGED = 0.5  # score from which a comment counts as filler
 
@@ -106,12 +109,20 @@ def vocabulary(code: Column) -> Column:
     comparing every word of a comment with every word of the code.
     """
     names = sub(code, rf"[^A-Za-z_$]*+({IDENTIFIER})|[^A-Za-z_$]++\z", " $1")
-    cut = F.translate(sub(names, CAMEL_CUT, "$1 "), "_", " ")
-    parts = F.concat(F.lit(" "), F.lower(cut), F.lit(" "))
+    parts = F.concat(F.lit(" "), F.lower(sub(names, NAME_CUT, " ")), F.lit(" "))
     digits = F.when(rlike(code, "[0-9]"), _padded(find_all(code, r"\b\d+\b"))).otherwise(F.lit(""))
-    named = let(parts, lambda p: F.concat(p, *_evoked(p, KEYWORD_WORDS)))
-    counted = let(digits, lambda n: F.when(n != "", F.concat(*_evoked(n, DIGIT_WORDS))).otherwise(n))
-    return F.concat(named, counted, *_evoked(code, OPERATOR_WORDS, pad=""))
+
+    def meant(found: Column, table: dict[str, tuple[str, ...]]) -> Column:
+        return let(found, lambda n: F.when(n != "", F.concat(*_evoked(n, table))).otherwise(n))
+
+    def named(p: Column) -> Column:
+        # The few keywords are listed in one pass, and what they stand for is looked up in that list.
+        keys = F.regexp_extract_all(p, F.lit(f" ({'|'.join(KEYWORD_WORDS)})(?= )"), F.lit(1))
+        said = let(keys, lambda ks: F.when(F.size(ks) > 0, _padded(ks)).otherwise(F.lit("")))
+        return F.concat(p, meant(said, KEYWORD_WORDS))
+
+    signs = F.when(rlike(code, r"\+\+|--|[+\-]="), F.concat(*_evoked(code, OPERATOR_WORDS, pad=""))).otherwise(F.lit(""))
+    return F.concat(let(parts, named), meant(digits, DIGIT_WORDS), signs)
 
 
 def echoes(word: Column, vocab: Column) -> Column:
@@ -140,10 +151,29 @@ def content(inner: Column) -> Column:
     return _content(words(inner), 2)
 
 
+#: From so many letters on, a word and what echoes it begin with the same ones.
+HEAD = 4
+
+
 def share_in(ws: Column, vocab: Column) -> Column:
-    """Share of the words that a vocabulary echoes; 0 for fewer than two."""
-    hits = F.size(F.filter(ws, lambda w: echoes(w, vocab))) / F.size(ws)
-    return F.when(F.size(ws) >= 2, hits).otherwise(F.lit(0.0))
+    """Share of the words that a vocabulary echoes; 0 for fewer than two.
+
+    Beginnings are compared by hash first, so that only words that share theirs with
+    the vocabulary are searched in it.
+    """
+    heads = F.regexp_extract_all(vocab, F.lit(f"([^ ]{{1,{HEAD}}})[^ ]*+"), F.lit(1))
+    shared = F.array_intersect(F.transform(ws, lambda w: F.left(w, F.lit(HEAD))), heads)
+
+    def hits(known: Column) -> Column:
+        maybe = lambda w: (F.length(w) < HEAD) | F.array_contains(known, F.left(w, F.lit(HEAD)))
+        return F.size(F.filter(ws, lambda w: maybe(w) & echoes(w, vocab))) / F.size(ws)
+
+    return F.when(F.size(ws) >= 2, let(shared, hits)).otherwise(F.lit(0.0))
+
+
+def share_of(ws: Column, code: Column) -> Column:
+    """``share_in`` for the words of a piece of code."""
+    return F.when(is_blank(code), F.lit(0.0)).otherwise(let(vocabulary(code), lambda v: share_in(ws, v)))
 
 
 def restates(inner: Column, target: Column) -> Column:
@@ -152,11 +182,8 @@ def restates(inner: Column, target: Column) -> Column:
     The code is looked at only for a comment of two such words or more.
     """
 
-    def share(ws: Column, code: Column) -> Column:
-        return F.when(is_blank(code), F.lit(0.0)).otherwise(let(vocabulary(code), lambda v: share_in(ws, v)))
-
     def of(ws: Column) -> Column:
-        return F.when(F.size(ws) >= 2, let(target, lambda code: share(ws, code))).otherwise(F.lit(0.0))
+        return F.when(F.size(ws) >= 2, let(target, lambda code: share_of(ws, code))).otherwise(F.lit(0.0))
 
     return let(content(inner), of)
 
@@ -207,7 +234,7 @@ def opener(inner: Column) -> Column:
 
 
 # One pass over a text that no opener touches, before the eleven are told apart.
-ANY_OPENER = any_of(p for p, _, _ in OPENERS)
+ANY_OPENER = any_of((p for p, _, _ in OPENERS), heads="[fiebsacpm][onsaiu']")
 
 PARTS = "struct<opener:int,decorated:boolean,restated:double,tags:int,long:boolean,wordy:boolean>"
 
@@ -225,7 +252,7 @@ def parts(
             restated.alias("restated"),
             empty_tags(lines).alias("tags"),
             ((n_lines >= 4) & (kind != "docstring")).alias("long"),
-            (F.size(words(inner)) > 25).alias("wordy"),
+            rlike(F.lower(inner), MANY_WORDS).alias("wordy"),
         ),
     )
 

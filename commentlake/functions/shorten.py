@@ -77,7 +77,8 @@ def _strip_one_preamble(text: Column) -> Column:
 
 def clean_prose(text: Column) -> Column:
     """Without preambles and without filler sentences."""
-    out = strip(sub(text, r"(?U)\s+", " "))
+    # A single blank stays as it is.
+    out = strip(sub(text, r"(?U)[\s&&[^ ]]\s*+| \s++", " "))
     for _ in range(PREAMBLE_ROUNDS):
         out = let(out, _strip_one_preamble)
 
@@ -205,7 +206,9 @@ def same_lines(a: Column, b: Column) -> Column:
     """Equal apart from outer blank lines and trailing white space."""
 
     def core(lines: Column) -> Column:
-        text = F.array_join(lines, "\n")
-        return sub(sub(sub(text, r"(?<![^\S\n])[^\S\n]++(?=\n|\z)"), r"\A\n++"), r"(?<!\n)\n++\z")
+        return let(F.array_join(lines, "\n"), lambda text: F.when(
+            rlike(text, r"\s(?:\n|\z)|\A\n"),
+            sub(sub(sub(text, r"(?<![^\S\n])[^\S\n]++(?=\n|\z)"), r"\A\n++"), r"(?<!\n)\n++\z"),
+        ).otherwise(text))
 
     return core(a) == core(b)

@@ -113,12 +113,17 @@ def _docstring_lines(text: Column) -> Column:
     return let(body, dedented)
 
 
+def _unclosed(line: Column) -> Column:
+    marked = line.endswith("]]") | line.endswith("*/") | line.endswith("-->")
+    return F.when(marked, sub(line, CLOSING_MARKS)).otherwise(line)
+
+
 def bare_lines(kind: Column, text: Column) -> Column:
     """Text lines without delimiters and decoration."""
 
     def bare(line: Column) -> Column:
         opened = sub(strip(line), rf"\A(?:{OPENING_MARKS})")
-        return strip(sub(sub(opened, CLOSING_MARKS), LEADING_STAR))
+        return strip(sub(let(opened, _unclosed), LEADING_STAR))
 
     plain = F.transform(lines_of(text), bare)
     return F.when(kind == "docstring", _docstring_lines(text)).otherwise(plain)

@@ -256,26 +256,46 @@ def _line_shares() -> Column:
 
 def _with_restated(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
     """Add ``restated`` from the lines of the file: no comment holds a copy of its surroundings."""
-    df = df.withColumns(_restated_columns(_jvm()))
+    df = df.withColumns(_restated_columns(_jvm())).withColumn("_below", _below_column(_jvm()))
     column, names = _indexed_restated(tuple(names), _jvm())
     return df.withColumn("comments", column), list(names)
 
 
+def _line_at(k: Column) -> Column:
+    return F.coalesce(F.get(F.col("_real_lines"), k), F.lit(""))
+
+
 @lru_cache(maxsize=8)
 def _restated_columns(jvm) -> dict[str, Column]:
     asks = lambda c: c["trailing"] & F.contains(c["inner"], F.lit(" "))  # noqa: E731  two words or more
     read = F.aggregate("comments", F.lit(0).cast("bigint"), lambda a, c: a + F.when(asks(c), c["col"]).otherwise(F.lit(0)))
-    return {"_shares": pinned(F.when(read > REREAD * F.length("text"), _line_shares()))}
+    return {
+        "_shares": pinned(F.when(read > REREAD * F.length("text"), _line_shares())),
+        "_words": pinned(F.transform("comments", lambda c: score.content(c["inner"]))),
+    }
+
+
+@lru_cache(maxsize=8)
+def _below_column(jvm) -> Column:
+    """The vocabulary of the line below each comment that is compared with it."""
+
+    def one(c: Column, i: Column) -> Column:
+        return F.when(~c["trailing"] & (F.size(F.get("_words", i)) >= 2), score.vocabulary(_line_at(c["end_line"])))
+
+    return pinned(F.transform("comments", one))
 
 
 @lru_cache(maxsize=64)
 def _indexed_restated(names: tuple, jvm) -> tuple[Column, tuple]:
     def one(c: Column, i: Column) -> Column:
-        get = lambda n: c[n]
-        below = text.context(F.col("_real_lines"), c["end_line"] + 1, F.lit(2))
-        near = F.when(c["trailing"], _same_line(get)).otherwise(below)
-        share = F.coalesce(F.get(F.col("_shares"), i), score.restates(c["inner"], near))
-        return F.struct(*[c[n].alias(n) for n in names], share.alias("restated"))
+        ws = F.get("_words", i)
+        # The second line below a comment is mostly the first one below the next comment.
+        after = F.get("comments", i + 1)["end_line"] == c["end_line"] + 1
+        second = F.coalesce(F.when(after, F.get("_below", i + 1)), score.vocabulary(_line_at(c["end_line"] + 1)))
+        beside = let(_same_line(lambda n: c[n]), lambda code: score.share_of(ws, code))
+        below = let(F.concat(F.get("_below", i), second), lambda v: score.share_in(ws, v))
+        share = F.when(F.size(ws) >= 2, F.when(c["trailing"], beside).otherwise(below)).otherwise(F.lit(0.0))
+        return F.struct(*[c[n].alias(n) for n in names], F.coalesce(F.get(F.col("_shares"), i), share).alias("restated"))
 
     return F.transform("comments", one), (*names, "restated")
 
@@ -304,15 +324,24 @@ DESCRIBE = (_layer_text, _layer_inner, _layer_sole)
 RATE = (_layer_rules, _layer_score)
 
 
+#: How far comments are classified; each includes those before it.
+PROTECTED, RESTATED, SCORE, REASONS = range(4)
+
+
 def classified_arrays(files: DataFrame, protections: Protections = Protections(),
-                      languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
-    """``comment_arrays`` with annotation and classification in place, without copies of neighbouring lines."""
+                      languages: Collection[str] = lexer.LANGUAGES, upto: int = REASONS) -> DataFrame:
+    """``comment_arrays`` with annotation and classification in place, without copies of neighbouring lines.
+
+    What a lambda computes is never pruned, so ``upto`` says what is wanted: PROTECTED
+    (nothing is scored), RESTATED, SCORE or REASONS (everything).
+    """
     out = comment_arrays(files, languages, context=("following",))
     names = out.schema["comments"].dataType.elementType.fieldNames()
     for layer in (*DESCRIBE, _layer_protect(protections)):
         out, names = add_fields(out, names, layer)
-    out, names = _with_restated(out, names)
-    for layer in RATE:
+    if upto >= RESTATED:
+        out, names = _with_restated(out, names)
+    for layer in {SCORE: (_layer_rules, _layer_points), REASONS: RATE}.get(upto, ()):
         out, names = add_fields(out, names, layer)
     return out.withColumn("comments", pinned(F.col("comments")))
 
