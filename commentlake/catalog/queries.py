@@ -264,7 +264,7 @@ def truncate_text(spark, d):
 
 
 def banner_groups(spark, d):
-    arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY)
+    arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY, upto=ops.PROTECTED)
     arrays = arrays.withColumn("_banner", pinned(ed.banner_flags(F.col("comments"))))
     pairs = F.arrays_zip(F.transform("comments", lambda c: c["line"]).alias("line"), F.col("_banner").alias("flag"))
     rows = arrays.select("path", F.explode_outer(F.filter(pairs, lambda p: p["flag"])).alias("p"))
@@ -272,7 +272,7 @@ def banner_groups(spark, d):
 
 
 def dedupe_nearby(spark, d):
-    arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY)
+    arrays = ops.classified_arrays(_files(spark, d, C.DOCUMENTS), languages=PY, upto=ops.PROTECTED)
     copies = ed.duplicate_flags(F.col("comments"), lambda c, i: c["protected"].isNull())
     arrays = arrays.withColumn("_copies", pinned(copies))
     pairs = F.arrays_zip(F.transform("comments", lambda c: c["line"]).alias("line"), F.col("_copies").alias("flag"))
@@ -332,7 +332,7 @@ def delete_docs(spark, d):
 
 
 def edit_log(spark, d):
-    planned = ed.plan_reduce(ops.classified_arrays(_files(spark, d, C.EVENTS), languages=JS))
+    planned = ed.plan_reduce(ops.classified_arrays(_files(spark, d, C.EVENTS), languages=JS, upto=ed.wanted("reduce")))
     return ed.edits_of(planned).select(
         "path", "comment_id", "start", "end", "action", F.array_join("lines", "|").alias("lines"), "reason"
     )
@@ -346,20 +346,20 @@ def verify_unchanged(spark, d):
 def verify_tampered(spark, d):
     """A rewrite that also touched code is caught, with the place named."""
     files = _files(spark, d, C.PARTS)
-    planned = ed.plan_delete(ops.classified_arrays(files, languages=SQL))
+    planned = ed.plan_delete(ops.classified_arrays(files, languages=SQL, upto=ed.wanted("delete")))
     applied = ed.apply_edits(planned).withColumn("after", F.replace("after", F.lit("AS s;"), F.lit("AS t;")))
     return ed.verify(applied, SQL).select("path", "ok", "first_difference")
 
 
 def verify_proved(spark, d):
     """Cleaned files whose edits are undone byte by byte and confirmed by a second reading."""
-    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS)))
+    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS, upto=ed.wanted("delete"))))
     proved = ed.prove(applied, JS)
     return proved.select("path", F.sha1(F.encode("after", "UTF-8")).alias("after_sha1"), "reversible", "confirmed")
 
 
 def undo_log(spark, d):
-    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS)))
+    applied = ed.apply_edits(ed.plan_delete(ops.classified_arrays(_files(spark, d, C.NESTED_TEMPLATES), languages=JS, upto=ed.wanted("delete"))))
     return ed.undo_log(applied)
 
 

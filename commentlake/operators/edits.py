@@ -14,6 +14,9 @@ from commentlake.functions.hof import is_blank, let, pinned, prefix
 from commentlake.functions.protect import API_DOC, Protections
 from commentlake.functions.text import count_lines
 from commentlake.operators.comments import (
+    PROTECTED,
+    RESTATED,
+    SCORE,
     Get,
     add_fields,
     classified_arrays,
@@ -41,7 +44,7 @@ def eligible(c: Get, opts: Options) -> Column:
     free = c("protected").isNull()
     if opts.shrink_docs:
         free = free | (c("protected") == API_DOC)
-    return free & (c("ai_score") >= opts.min_score)
+    return free & (c("ai_score") >= opts.min_score) if opts.min_score > 0 else free
 
 
 def can_delete(c: Get) -> Column:
@@ -354,6 +357,11 @@ def verify(applied: DataFrame, languages: Collection[str] = lexer.LANGUAGES) ->
 PLANS = {"delete": plan_delete, "reduce": plan_reduce}
 
 
+def wanted(mode: str, opts: Options = Options()) -> int:
+    """How far comments must be classified for a plan: a score is asked for only from a least one on."""
+    return SCORE if opts.min_score > 0 else RESTATED if mode == "reduce" else PROTECTED
+
+
 def clean_files(files: DataFrame, mode: str = "delete", opts: Options = Options(),
                 protections: Protections = Protections(),
                 languages: Collection[str] = lexer.LANGUAGES, proof: bool = False) -> DataFrame:
@@ -363,7 +371,7 @@ def clean_files(files: DataFrame, mode: str = "delete", opts: Options = Options(
     counts. ``after`` equals ``before`` where nothing changed. With ``proof`` a file is
     ok only if it is also proved (``prove``); that reads each changed file once more.
     """
-    planned = PLANS[mode](classified_arrays(files, protections, languages), opts)
+    planned = PLANS[mode](classified_arrays(files, protections, languages, wanted(mode, opts)), opts)
     return _summarised(_verified(apply_edits(planned), languages, proof))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commentlake.functions import lexer, shorten
 from commentlake.functions.hof import is_blank, let, pinned, rlike, strip, sub
 from commentlake.functions.protect import API_DOC, Protections
-from commentlake.operators.comments import annotate, classified_arrays, classify, extract_comments, list_comments
+from commentlake.operators.comments import PROTECTED, annotate, classified_arrays, classify, extract_comments, list_comments
 from commentlake.operators.edits import (
     DELETE,
     REPLACE,
@@ -218,7 +218,7 @@ def apply_reviews(files: DataFrame, judged: DataFrame, protections: Protections
         .agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "action", "lines"))).alias("_given"))
     )
     touched = files.join(per_file, "path", "inner")
-    planned = classified_arrays(touched, protections, languages)
+    planned = classified_arrays(touched, protections, languages, PROTECTED)
 
     # Comment ids are positions: spread the answers out to one slot per comment,
     # so that each comment finds its own by index.
