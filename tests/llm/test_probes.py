@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from commentlake.llm import (
-    common, exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, warc, weak_labels,
+    common, exact_dedup, packing, piece_sampling, quality_rules, secret_scan, simhash, substring_dedup, token_files, warc, weak_labels,
 )
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -318,3 +318,26 @@ def test_pipeline_does_what_its_stages_say(spark, tmp_path):
             assert offset == at
             at += length
         assert at <= 4096
+
+
+def test_words_that_differ_by_case_or_marks_reach_the_library_once():
+    from commentlake.llm.tokens import Encoder, default_tokenizer
+
+    e = Encoder(default_tokenizer())
+    asked, whole = [], e._whole
+    e._whole = lambda texts, *by: asked.extend(w for t in texts for w in t.split(" ")) or whole(texts, *by)
+    texts = ["Table table TABLE table*** Table&&& table.&&& Élan élan ÉLAN###", "", None, " \n\x1c table\x85Table ", "I'LL ÉX H̱ İ ß ẞ ǅ ﬁ TABLE x" + "y" * 5000 + "!!"]
+    got = e.encode(texts)
+    assert asked.count("table") == 1 and asked.count("élan") == 1
+    assert not {"Table", "TABLE", "table***", "Table&&&", "ÉLAN###"} & set(asked)
+    assert got == [whole([t or ""])[0] for t in texts]
+
+
+@pytest.mark.parametrize("most", [1, 5, 300, 1 << 17, (1 << 32) - 1])
+def test_ranks_by_table_and_by_search_agree(most):
+    rng = np.random.default_rng(most)
+    for n in (0, 1, 1000):
+        ids = rng.integers(0, most, n, endpoint=True).astype("<u4")
+        by_rank, control, data = token_files.encode_ids(ids)
+        back = token_files.decode_ids(by_rank, np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), n)
+        assert back.tolist() == ids.tolist()
