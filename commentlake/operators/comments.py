@@ -132,13 +132,13 @@ def _layer_following(c: Get) -> Mapping[str, Column]:
 CONTEXT = {"same": _layer_same, "before": _layer_before, "after": _layer_after, "following": _layer_following}
 
 
-def _layer_text(c: Get) -> Mapping[str, Column]:
+def _layer_own(c: Get) -> Mapping[str, Column]:
     own = c("jsx_wrapped") | (c("front") == 0)
-    return {
-        "own_line": own,
-        "trailing": ~own,
-        "inner_lines": text.bare_lines(c("kind"), c("text")),
-    }
+    return {"own_line": own, "trailing": ~own}
+
+
+def _layer_text(c: Get) -> Mapping[str, Column]:
+    return {**_layer_own(c), "inner_lines": text.bare_lines(c("kind"), c("text"))}
 
 
 def _layer_inner(c: Get) -> Mapping[str, Column]:
@@ -453,6 +453,32 @@ def list_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES
     )
 
 
+def list_texts(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """One row per comment like ``list_comments``, with path, comment_id and text alone: no place is worked out."""
+    out = lex(files, languages, places=False)
+    places = F.filter(
+        F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
+    )
+    out = out.withColumn("comments", pinned(F.transform(places, lambda i: F.get(F.col("_tok"), i)["tok"])))
+    rows = out.select("path", F.posexplode_outer("comments").alias("_n", "text"))
+    return rows.where(F.col("_n").isNotNull()).select("path", F.format_string("c%04d", "_n").alias("comment_id"), "text")
+
+
+def placed_arrays(files: DataFrame, protections: Protections = Protections(),
+                  languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """``comment_arrays`` with what an edit's place needs, and ``_protected`` beside it.
+
+    A field that a lambda computes is never pruned, a column is: who asks for no
+    protection reads none.
+    """
+    out = comment_arrays(files, languages, context=())
+    names = out.schema["comments"].dataType.elementType.fieldNames()
+    out, _ = add_fields(out, names, _layer_own)
+    out = out.withColumn("comments", pinned(F.col("comments")))
+    layer = _layer_protect(protections)
+    return out.withColumn("_protected", pinned(F.transform("comments", lambda c: layer(lambda n: c[n])["protected"])))
+
+
 def annotate(comments: DataFrame) -> DataFrame:
     """Bare text, own-line and sole-statement flags."""
     return _apply(comments, DESCRIBE)

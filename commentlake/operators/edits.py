@@ -388,7 +388,7 @@ def _verified(applied: DataFrame, languages: Collection[str], proof: bool) -> Da
     )
 
 
-def _summarised(verified: DataFrame) -> DataFrame:
+def _summarised(verified: DataFrame, n_protected: Column | None = None) -> DataFrame:
     def count(cond) -> Column:
         return F.size(F.filter("comments", cond))
 
@@ -400,7 +400,7 @@ def _summarised(verified: DataFrame) -> DataFrame:
         "first_difference": F.col("first_difference"),
         "deleted": count(lambda c: c["action"] == DELETE),
         "shortened": count(lambda c: c["action"] == REPLACE),
-        "protected": count(lambda c: c["protected"].isNotNull()),
+        "protected": count(lambda c: c["protected"].isNotNull()) if n_protected is None else n_protected,
         "lines_saved": saved,
     }
     return verified.select("path", "lang", *[pinned(v).alias(k) for k, v in columns.items()])

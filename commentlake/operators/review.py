@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from commentlake.functions import lexer, shorten
 from commentlake.functions.hof import is_blank, let, pinned, rlike, strip, sub
 from commentlake.functions.protect import API_DOC, Protections
-from commentlake.operators.comments import PROTECTED, annotate, classified_arrays, classify, extract_comments, list_comments
+from commentlake.operators.comments import annotate, classify, extract_comments, list_texts, placed_arrays
 from commentlake.operators.edits import (
     DELETE,
     REPLACE,
@@ -163,7 +163,7 @@ def judge_reviews(reviews: DataFrame, files: DataFrame,
     )
     # Only fresh files are lexed again, and of their comments only id and hash travel.
     fresh = state.where(F.col("_file_reason").isNull()).select("path")
-    known = list_comments(files.join(fresh, "path", "left_semi"), languages).select("path", "comment_id", F.sha1(F.encode("text", "UTF-8")).alias("_sha"))
+    known = list_texts(files.join(fresh, "path", "left_semi"), languages).select("path", "comment_id", F.sha1(F.encode("text", "UTF-8")).alias("_sha"))
     answered = asked.where(F.col("new_text").isNotNull())
     # Of two answers to one comment the first counts.
     once = answered.groupBy("path", "comment_id").agg(
@@ -218,7 +218,7 @@ def apply_reviews(files: DataFrame, judged: DataFrame, protections: Protections
         .agg(F.sort_array(F.collect_list(F.struct(number.alias("n"), "action", "lines"))).alias("_given"))
     )
     touched = files.join(per_file, "path", "inner")
-    planned = classified_arrays(touched, protections, languages, PROTECTED)
+    planned = placed_arrays(touched, protections, languages)
 
     # Comment ids are positions: spread the answers out to one slot per comment,
     # so that each comment finds its own by index.
@@ -242,4 +242,4 @@ def apply_reviews(files: DataFrame, judged: DataFrame, protections: Protections
         )
 
     planned = planned.withColumn("comments", F.transform("comments", decide))
-    return _summarised(verify(apply_edits(planned), languages))
+    return _summarised(verify(apply_edits(planned), languages), F.size(F.array_compact("_protected")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from commentlake.functions import protect, score
 from commentlake.operators import comments as ops
 from commentlake.operators import edits as ed
+from commentlake.operators import review as rv
+from commentlake.sources.files import decode
 
 
 def test_plans_compute_only_what_they_read(spark):
@@ -39,3 +41,30 @@ def test_every_licence_and_directive_passes_the_early_search():
     for line in ("SPDX-License-Identifier", "Copyright", "(c) 2020", "Licensed", "license", "All Rights Reserved",
                  "@license", "@preserve", "GNU General Public", "MIT License", "Apache License"):
         assert any(p in line.lower() for p in protect.LICENSE_PIECES)
+
+
+def test_applying_reviews_reads_protection_only_where_its_count_is_asked_for(spark):
+    text = "// eslint-disable-next-line\nlet a = 1; // old words\n/* go */\nlet b = 2;\n"
+    files = decode(spark.createDataFrame([("a.js", text, "javascript"), ("b.js", text, "javascript")], "path string, text string, lang string"))
+    judged = spark.createDataFrame(
+        [("a.js", "c0001", "replace", ["new words"], [], None), ("a.js", "c0002", "delete", [], [], None), ("b.js", "c0001", None, [], [], "unchanged")],
+        "path string, comment_id string, action string, lines array<string>, warnings array<string>, reason string",
+    )
+    out = rv.apply_reviews(files, judged, languages=("javascript",))
+    row = out.collect()
+    assert [(r.path, r.after, r.ok, r.deleted, r.shortened, r.protected) for r in row] == [
+        ("a.js", "// eslint-disable-next-line\nlet a = 1; // new words\nlet b = 2;\n", True, 1, 1, 1)
+    ]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "eslint" in plan(out.select("protected"))
+    assert "eslint" not in plan(out.select("path", "after", "ok"))
+
+
+def test_judging_reviews_works_out_no_places(spark):
+    files = decode(spark.createDataFrame([("a.js", "// one\nlet a; /* two */\n", "javascript")], "path string, text string, lang string"))
+    texts = ops.list_texts(files, ("javascript",))
+    assert sorted(map(tuple, texts.collect())) == [("a.js", "c0000", "// one"), ("a.js", "c0001", "/* two */")]
+    listed = ops.list_comments(files, ("javascript",)).select("path", "comment_id", "text")
+    assert sorted(map(tuple, texts.collect())) == sorted(map(tuple, listed.collect()))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pos#" in plan(listed) and "_pos#" not in plan(texts)
