@@ -45,9 +45,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it in ``body``.
 
     Inside a lambda Catalyst neither shares common sub-expressions nor adds a
-    projection, so naming a value needs a one-element array.
+    projection, so naming a value needs a one-element array. It is read by
+    ``element_at``, which knows its type once; ``get`` works the type of the whole
+    body out again at every call.
     """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.element_at(F.transform(F.array(value), body), F.lit(1))
 
 
 def pinned(c: Column) -> Column:
@@ -125,6 +127,10 @@ def block_of(a: Column, k: Column, size: Column) -> Column:
     return F.when(F.size(a) <= size, a).otherwise(F.slice(a, k * size + 1, size))
 
 
+#: Elements that a running fold takes in one block.
+ONE_BLOCK = 32
+
+
 def prefix(
     arr: Column, init: Column, sql_type: str, combine: Callable[[Column, Column], Column]
 ) -> Column:
@@ -133,7 +139,8 @@ def prefix(
     Spark copies a fold's accumulator at every step, so growing an array inside
     ``aggregate`` is quadratic. Folding over blocks of about sqrt(n) elements
     keeps a file with half a million tokens affordable, and the state is a
-    scalar so that the copies stay flat.
+    scalar so that the copies stay flat. Up to ``ONE_BLOCK`` elements are one block,
+    without the fold over blocks around it.
     """
     none = F.array().cast(f"array<{sql_type}>")
 
@@ -162,8 +169,8 @@ def prefix(
 
     return let(
         arr,
-        lambda a: let(
-            F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda b: blocked(a, b)
+        lambda a: F.when(F.size(a) <= ONE_BLOCK, fold(a, init.cast(sql_type))["out"]).otherwise(
+            let(F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda b: blocked(a, b))
         ),
     )
 

@@ -46,7 +46,7 @@ class Automaton:
 
     ``rules`` maps a mode to the class's effect: the next mode with what is put in
     front of the memory, or a word from ``effects``, which compute the next state from
-    (memory, atom).
+    (memory, atom). With ``braces`` the words are "{", "}" and "${", see ``_braced_fold``.
     """
 
     atoms: str
@@ -56,6 +56,7 @@ class Automaton:
     inside: str  # modes in which an atom is part of a comment
     opening: str  # modes that the first atom of a comment leads to
     effects: dict[str, Callable[[Column, Column], Column]] = field(default_factory=dict)
+    braces: bool = False  # remembers open braces per template and nothing else
 
     def __hash__(self) -> int:
         return id(self)
@@ -112,17 +113,21 @@ def _fold(atoms: Column, auto: Automaton) -> Column:
     def begin(m: Column, mem: Column) -> Column:
         return F.struct(m.alias("m"), mem.alias("mem"), F.lit("").alias("out"))
 
+    return _in_blocks(atoms, begin(F.lit(row[auto.start]), F.lit("")), lambda s: begin(s["m"], s["mem"]), step)
+
+
+def _in_blocks(atoms: Column, first: Column, again: Callable[[Column], Column], step) -> Column:
+    """The letters of a fold that starts at ``first``; ``again`` is a state with no letters yet."""
+
     def blocked(a: Column, size: Column) -> Column:
         last = F.greatest(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int"))
+
+        def joined(acc: Column, r: Column) -> Column:
+            return r.withField("out", F.concat(acc["out"], r["out"]))
+
         return F.aggregate(
-            F.sequence(F.lit(0), last),
-            begin(F.lit(row[auto.start]), F.lit("")),
-            lambda acc, k: let(
-                F.aggregate(block_of(a, k, size), begin(acc["m"], acc["mem"]), step),
-                lambda r: F.struct(
-                    r["m"].alias("m"), r["mem"].alias("mem"), F.concat(acc["out"], r["out"]).alias("out")
-                ),
-            ),
+            F.sequence(F.lit(0), last), first,
+            lambda acc, k: let(F.aggregate(block_of(a, k, size), again(acc), step), lambda r: joined(acc, r)),
         )["out"]
 
     return let(
@@ -133,6 +138,49 @@ def _fold(atoms: Column, auto: Automaton) -> Column:
     )
 
 
+def _top(memory: Column) -> Column:
+    """Braces that are open in the innermost of the interpolations remembered."""
+    return F.substring_index(memory, "t", 1)
+
+
+def _outer(memory: Column) -> Column:
+    return F.substring(memory, F.length(_top(memory)) + 2, F.lit(1 << 30))
+
+
+def _braced_fold(classes: Column, auto: Automaton) -> Column:
+    """``_fold`` over classes alone, for a syntax that remembers open braces per template.
+
+    ``n`` counts the braces open in the innermost interpolation; ``mem`` holds the counts
+    of those around it, so that a brace costs an addition and only the start and the end
+    of an interpolation touch the string. Outside of all templates ``n`` means nothing.
+    """
+    modes, words = list(auto.rules), [auto.rules[m](c) for m in auto.rules for c in range(CLASSES)]
+    row = {m: CLASSES * k for k, m in enumerate(modes)}
+    operand, template, enter, leave = row["a"], row["t"], -1, -2
+    special = {"{": operand, "${": enter, "}": leave}
+    following = F.array(*(F.lit(special[w] if w in special else row[w]) for w in words))
+    opened = F.array(*(F.lit(int(w == "{")) for w in words))
+    marks = F.array(*map(F.lit, _marks(auto)))
+
+    def state(m, n, mem, out) -> Column:
+        return F.struct(m.alias("m"), n.alias("n"), mem.alias("mem"), out.alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        key = acc["m"] + x
+        to, n, mem, out = F.get(following, key), acc["n"], acc["mem"], F.concat(acc["out"], F.get(marks, key))
+        return (
+            F.when(to >= 0, state(to, n + F.get(opened, key), mem, out))
+            .when(to == enter, state(F.lit(operand), F.lit(0), F.concat(n.cast("string"), F.lit("t"), mem), out))
+            .when((n == 0) & (mem != ""), state(F.lit(template), _top(mem).cast("int"), _outer(mem), out))
+            .otherwise(state(F.lit(operand), n - 1, mem, out))
+        )
+
+    none = F.lit("")
+    return _in_blocks(
+        classes, state(F.lit(row[auto.start]), F.lit(0), none, none), lambda s: state(s["m"], s["n"], s["mem"], none), step
+    )
+
+
 # ---- JavaScript ----------------------------------------------------------------
 # Code modes: after a keyword, where an operand may follow, after another word, after
 # an operand; f is n right after a regex, whose flags are no word.
@@ -178,19 +226,6 @@ def _js_rules() -> dict[str, Rule]:
     return rules
 
 
-def _top(memory: Column) -> Column:
-    """Braces that are open in the innermost interpolation."""
-    return F.substring_index(memory, "t", 1)
-
-
-def _outer(memory: Column) -> Column:
-    return F.substring(memory, F.length(_top(memory)) + 2, F.lit(1 << 30))
-
-
-def _counted(memory: Column, by: int) -> Column:
-    return F.concat(F.lit("a"), (_top(memory).cast("int") + by).cast("string"), F.lit("t"), _outer(memory))
-
-
 # A run ends with the next character that means something. Where a comment can begin or
 # end there, and after a backslash, the run is an atom of its own; a star means something
 # before a slash only. Of a run in code only its last word or sign counts.
@@ -248,12 +283,7 @@ JAVASCRIPT = Automaton(
     start="a",
     inside="".join([*_OPEN.values(), *_BLOCK.values(), *_STARRED.values()]),
     opening="".join([*_OPEN.values(), *_LINE.values()]),
-    effects={
-        # Braces count only where a template waits for its own.
-        "{": lambda m, a: F.when(m == "", F.lit("a")).otherwise(_counted(m, 1)),
-        "}": lambda m, a: F.when(m == "", F.lit("a")).when(_top(m) == "0", F.concat(F.lit("t"), _outer(m))).otherwise(_counted(m, -1)),
-        "${": lambda m, a: F.concat(F.lit("a0t"), m),
-    },
+    braces=True,
 )
 
 
@@ -407,13 +437,14 @@ def pieces(text: Column, auto: Automaton) -> Column:
         seen = F.regexp_extract_all(text, F.lit(auto.atoms), F.lit(1))
 
         def classed(flags: Column) -> Column:
-            return F.transform(
-                atoms, lambda a, i: F.struct(auto.classify(a, F.get(flags, i)).alias("c"), a.alias("a"))
-            )
+            known = lambda a, i: auto.classify(a, F.get(flags, i))
+            if auto.braces:
+                return F.transform(atoms, known)
+            return F.transform(atoms, lambda a, i: F.struct(known(a, i).alias("c"), a.alias("a")))
 
         # A piece is a comment's atoms from its first on, or those between two comments.
         runs = F.regexp_extract_all(
-            _fold(let(seen, classed), auto), F.lit(f"{FIRST_ATOM}{COMMENT_ATOM}*+|{CODE_ATOM}++|{COMMENT_ATOM}++"), F.lit(0)
+            (_braced_fold if auto.braces else _fold)(let(seen, classed), auto), F.lit(f"{FIRST_ATOM}{COMMENT_ATOM}*+|{CODE_ATOM}++|{COMMENT_ATOM}++"), F.lit(0)
         )
 
         def grouped(sizes: Column) -> Column:
