@@ -453,14 +453,18 @@ def list_comments(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES
     )
 
 
-def list_texts(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
-    """One row per comment like ``list_comments``, with path, comment_id and text alone: no place is worked out."""
-    out = lex(files, languages, places=False)
+def text_arrays(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES, source: str = "text") -> DataFrame:
+    """Add ``comments``: the texts of the comments of ``source`` alone, by number; null where there is no text."""
+    out = lex(files, languages, source, places=False)
     places = F.filter(
         F.transform(F.col("_is"), lambda f, i: F.when(f, i).otherwise(F.lit(-1))), lambda i: i >= 0
     )
-    out = out.withColumn("comments", pinned(F.transform(places, lambda i: F.get(F.col("_tok"), i)["tok"])))
-    rows = out.select("path", F.posexplode_outer("comments").alias("_n", "text"))
+    return out.withColumn("comments", pinned(F.transform(places, lambda i: F.get(F.col("_tok"), i)["tok"])))
+
+
+def list_texts(files: DataFrame, languages: Collection[str] = lexer.LANGUAGES) -> DataFrame:
+    """One row per comment like ``list_comments``, with path, comment_id and text alone: no place is worked out."""
+    rows = text_arrays(files, languages).select("path", F.posexplode_outer("comments").alias("_n", "text"))
     return rows.where(F.col("_n").isNotNull()).select("path", F.format_string("c%04d", "_n").alias("comment_id"), "text")
 
 
